@@ -6,7 +6,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relspark.llm import mixing, ngram_join
+from relspark.llm import mixing, ngram_join, pieces, toxicity
+
+
+def safe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier chain doesn't call toxic."""
+    return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +24,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
-STAGES = [("ngram_join", near_duplicates), ("mixing", mix)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with the ids of their pieces."""
+    return pieces.encode(docs, pieces.read_model())
+
+
+STAGES = [("toxicity", safe), ("ngram_join", near_duplicates), ("mixing", mix), ("sentencepiece", encode)]
 
 #: MinHash, trained models and Viterbi have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None

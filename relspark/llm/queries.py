@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, ngram_join
+from . import mixing, ngram_join, pieces, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_ngram_join": ngram_join.op2_ngram_join,
+    "op3_sentencepiece": pieces.op3_sentencepiece,
+    "op5_toxicity": toxicity.op5_toxicity,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.SQL,
