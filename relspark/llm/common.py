@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 #: Rows up to which a narrow table (ids, per-source sums) is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Rows of whole texts that a Python worker gets at a time.
+BATCH = 500
 #: Runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -34,6 +36,15 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, for Python workers: whole texts can be long, so a worker gets ``BATCH`` rows at a time unless the session asks for fewer. This is
+    a setting of the session; it is the number of rows held at once, not a limit on rows."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH:
+        conf.set(name, str(BATCH))
+    return df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

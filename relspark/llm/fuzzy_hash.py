@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, partitions, table
+from .common import cut, in_small_batches, partitions, table
 from .shingles import P, P_INVERSE, mixed, powers
 
 WINDOW, LENGTH, LEAST_BLOCK, COMMON = 7, 64, 3, 7
@@ -108,7 +108,7 @@ def likeness(one: str, other: str) -> float:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint of every row."""
     made = F.pandas_udf(lambda texts: texts.map(fingerprint).astype("object"), "string")
-    return docs.select("doc_id", made("text").alias("fingerprint"))
+    return in_small_batches(docs).select("doc_id", made("text").alias("fingerprint"))
 
 
 COLUMNS = {"doc_id": "long", "n_chars": "long", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string", "near_edited": "double", "near_next": "double"}
@@ -149,7 +149,7 @@ def with_next(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=list(COLUMNS)).astype({"doc_id": "Int64"})
 
     schema = ", ".join(f"{c} {kind}" for c, kind in COLUMNS.items())
-    met = cut(dealt.mapInPandas(inside, f"{schema}, range_ long, text string, head string"))
+    met = cut(in_small_batches(dealt).mapInPandas(inside, f"{schema}, range_ long, text string, head string"))
     # One row per range: at most spark.sql.shuffle.partitions.
     ranges = Window.orderBy("range_")
     first = F.first("head").over(ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))

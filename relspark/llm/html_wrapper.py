@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, sized, table
+from .common import cut, in_small_batches, sized, table
 
 PERIOD, LONG, HOSTS, SALTS = 4, 48, 2000, 64
 
@@ -306,7 +306,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
             whole = json.loads(w) if whole is None else united(whole, json.loads(w))
         return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(whole)]})
 
-    parts = pages.select("host", "html").mapInPandas(fold, "host string, wrapper string").distinct()
+    parts = in_small_batches(pages.select("host", "html")).mapInPandas(fold, "host string, wrapper string").distinct()
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
     first = salted.groupBy("host", "salt").applyInPandas(meet, "host string, wrapper string")
     return first.groupBy("host").applyInPandas(meet, "host string, wrapper string")
@@ -334,7 +334,7 @@ def main_text(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     joined_pages = pages.join(of, pages.host == of.host_, "left").select("page_id", "url", "html", "wrapper")
-    return joined_pages.mapInPandas(extracted, "page_id long, url string, text string, n_chars long")
+    return in_small_batches(joined_pages).mapInPandas(extracted, "page_id long, url string, text string, n_chars long")
 
 
 def op4_html_wrapper(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_small_batches, table
 
 BLOCK, FRAME_BLOCKS, RATE = 64, 64, 25
 BINS, BEFORE, ABOVE, LEAST = 16, 12, 3.0, 0.2
@@ -246,7 +246,7 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 def stored(docs: DataFrame) -> DataFrame:
     """doc_id, media: every text as a file."""
     made = F.pandas_udf(lambda texts: texts.map(lambda t: pack(payload_of(t)[1])), "binary")
-    return docs.select("doc_id", made("text").alias("media"))
+    return in_small_batches(docs).select("doc_id", made("text").alias("media"))
 
 
 DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -265,4 +265,4 @@ def op10_media(spark, sf_dir: str) -> DataFrame:
                 rows.append((doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text").mapInPandas(digests, DIGESTS)
+    return in_small_batches(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")).mapInPandas(digests, DIGESTS)

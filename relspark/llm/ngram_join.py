@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, ranked, sized, table
+from .common import components, cut, in_small_batches, ranked, sized, table
 from .shingles import mixed, set_key, shingles
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
@@ -63,7 +63,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             sets = [shingles(t, words) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "node": [set_key(s) if len(s) else None for s in sets], "size": [len(s) for s in sets], "bands": [band_hashes(s, bands, rows) if len(s) else None for s in sets]})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(signed, "doc_id long, node binary, size int, bands array<long>")
+    return in_small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInPandas(signed, "doc_id long, node binary, size int, bands array<long>")
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def gram_sets(docs: DataFrame, placed: DataFrame, words: int) -> DataFrame:
 
     of = sized(placed.withColumnRenamed("least_id", "of_"))
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(of, F.col("doc_id").eqNullSafe(F.col("of_"))).select("root", "block", "node", "copies", "size", "text")
-    made_sets = found.mapInPandas(made, "root binary, block int, node binary, copies long, size int, grams binary")
+    made_sets = in_small_batches(found).mapInPandas(made, "root binary, block int, node binary, copies long, size int, grams binary")
     return made_sets.dropDuplicates(["node"])  # rows that repeat a doc_id
 
 

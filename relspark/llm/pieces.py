@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import table
+from .common import in_small_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Longest word and number of words kept with their ids in each worker.
-KEPT_CHARS, KEPT_WORDS = 48, 1 << 19
+KEPT_CHARS, KEPT_WORDS = 32, 1 << 17
 INFINITE = float("inf")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -167,7 +167,7 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "ids"])
 
-    return docs.select(*kept).mapInArrow(encoded, schema)
+    return in_small_batches(docs.select(*kept)).mapInArrow(encoded, schema)
 
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
@@ -182,7 +182,7 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
             texts = [pieces.decode(ids or ()) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    return encoded.select(*kept).mapInArrow(decoded, schema)
+    return in_small_batches(encoded.select(*kept)).mapInArrow(decoded, schema)
 
 
 def op3_sentencepiece(spark, sf_dir: str, path: str = MODEL) -> DataFrame:

@@ -16,6 +16,7 @@ an empty table gives an empty result; other columns are not read."""
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, in_small_batches, table
 
 CHAIN = ("quality", "toxic")
 SAMPLE, CHOSEN, LEAST_DOCS, FOLDS = 8000, 400, 5, 4
@@ -70,7 +71,7 @@ def chosen(sample: DataFrame, chain: Sequence[str], most: int = CHOSEN, least: i
 
     distinct = F.pandas_udf(present, "array<string>")
     ones = [F.sum(c).alias(c) for c in chain]
-    counts = cut(sample.select(*chain, F.explode(distinct("text")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), *ones).filter(F.col("n") >= least))
+    counts = cut(in_small_batches(sample).select(*chain, F.explode(distinct("text")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), *ones).filter(F.col("n") >= least))
     total = sample.agg(F.count(F.lit(1)).alias("n"), *ones).first()
     found: dict[str, tuple] = {}
     for c in chain:
@@ -86,20 +87,21 @@ def chosen(sample: DataFrame, chain: Sequence[str], most: int = CHOSEN, least: i
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, steps: int = 500) -> np.ndarray:
     """Weights (the last is the bias) of a ridge logistic regression, by accelerated gradient steps."""
-    x = np.c_[x, np.ones(len(x))]
+    x = np.c_[x, np.ones(len(x), x.dtype)]
     lean = np.r_[np.full(x.shape[1] - 1, penalty), 1e-6]
-    v = np.ones(x.shape[1])
+    y, lean = y.astype(x.dtype), lean.astype(x.dtype)
+    v = np.ones(x.shape[1], x.dtype)
     for _ in range(20):
         v = x.T @ (x @ v)
         v /= np.linalg.norm(v)
-    rate = 1 / (np.linalg.norm(x.T @ (x @ v)) / 4 * 1.05 + penalty)
-    w = z = np.zeros(x.shape[1])
+    rate = 1 / (float(np.linalg.norm(x.T @ (x @ v))) / 4 * 1.05 + penalty)
+    w = z = np.zeros(x.shape[1], x.dtype)
     t = 1.0
     for _ in range(steps):
         now = z - rate * (x.T @ (1 / (1 + np.exp(-np.clip(x @ z, -30, 30))) - y) + lean * z)
-        t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+        t, last = (1 + math.sqrt(1 + 4 * t * t)) / 2, t
         z, w = now + (last - 1) / t * (now - w), now
-    return w
+    return w.astype(float)
 
 
 def predicted(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -107,7 +109,7 @@ def predicted(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def dense(places, counts, shapes, n: int) -> np.ndarray:
-    out = np.zeros((len(shapes), n + len(shapes[0]) if len(shapes) else n))
+    out = np.zeros((len(shapes), n + SHAPES), np.float32)
     for k, (p, c, s) in enumerate(zip(places, counts, shapes, strict=True)):
         out[k, np.asarray(p, int)] = c
         out[k, n:] = s
@@ -136,7 +138,7 @@ def fitted(x: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> list[tuple[n
             for k in np.unique(folds):
                 outside[folds == k] = predicted(x[folds == k], logistic(x[folds != k], y[folds != k])) if (folds != k).any() else y.mean()
             models.append((logistic(x, y), limit(outside, y)))
-        x = np.c_[x, outside]
+        x = np.c_[x, outside.astype(x.dtype)]
     return models
 
 
@@ -193,7 +195,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             rows = [probabilities(text, m, places, starts) for text in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), **{f"p_{c}": [r[k] for r in rows] for k, c in enumerate(m["chain"])}})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(scored, "doc_id long, " + ", ".join(f"p_{c} double" for c in model["chain"]))
+    return in_small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInPandas(scored, "doc_id long, " + ", ".join(f"p_{c} double" for c in model["chain"]))
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -208,7 +210,7 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for series in batches:
             yield series.map(lambda t: probabilities(t, m, places, starts)[-1] < m["limits"][-1]).astype(bool)
 
-    return docs.filter(F.pandas_udf(stay, "boolean")("text"))
+    return in_small_batches(docs).filter(F.pandas_udf(stay, "boolean")("text"))
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
