@@ -1,0 +1,68 @@
+import hashlib
+import random
+import struct
+import zlib
+
+import numpy as np
+import pytest
+
+from relspark.llm import media
+
+
+@pytest.mark.parametrize("payload", [bytes(64), bytes(range(256)), b"\xff" * 640, random.Random(1).randbytes(64 * 200)])
+def test_round_trip(payload):
+    file = media.pack(payload)
+    back, shots = media.read(file)
+    assert back == payload and shots[0][0] == 0 and shots[-1][1] == -(-len(payload) // 4096) and all(a[1] == b[0] for a, b in zip(shots, shots[1:]))
+    assert struct.unpack_from("<I", file, 4)[0] == len(file) - 8
+
+
+def test_fast_reading_equals_reading_bit_by_bit():
+    for frame in media.frames_of(media.pack(random.Random(2).randbytes(64 * 70)))[1]:
+        found, scan = media.segments(frame)
+        fast, steps = media.coefficients(frame)
+        dc = media.codes_of(found[0xC4][0])
+        assert (media.huffman(scan, len(fast), dc, dc, 1) == fast).all() and (steps == 1).all()
+
+
+def test_other_baseline_scans():
+    """Two blocks with a table of two codes: DC 3 then 3 + -1, one AC coefficient of 5 behind a run of 2, and the end of block."""
+    dc, ac = {(2, 0b00): 2, (2, 0b01): 1}, {(2, 0b00): 0x23, (2, 0b01): 0x00}
+    bits = "00" "11" "00" "101" "01" + "01" "0" "01"
+    scan = bytes(int(bits.ljust(-(-len(bits) // 8) * 8, "1")[k : k + 8], 2) for k in range(0, len(bits), 8))
+    out = media.huffman(scan, 2, dc, ac, 0)
+    assert out[0, 0] == 3 and out[0, 3] == 5 and out[1, 0] == 2 and np.count_nonzero(out) == 3
+
+
+def test_samples_are_the_inverse_transform():
+    flat = np.zeros((1, 64), np.int32)
+    flat[0, :3] = 80, 24, -16
+    block = media.samples(flat, np.ones(64, np.int32))[0]
+    u = lambda k: np.sqrt(1 / 8) if k == 0 else 0.5
+    for y in range(8):
+        for x in range(8):
+            want = 128 + 80 / 8 + 24 * u(0) * u(1) * np.cos((2 * x + 1) * np.pi / 16) - 16 * u(0) * u(1) * np.cos((2 * y + 1) * np.pi / 16)
+            assert abs(int(block[y, x]) - want) <= 0.51
+
+
+def test_shots():
+    a, b = np.eye(16)[2], np.eye(16)[9]
+    assert media.shots([a, a, a, a, b, b, b, b, b, a], 25.0) == [(0, 4, 0.0, 0.16), (4, 9, 0.16, 0.36), (9, 10, 0.36, 0.4)]
+    drift = [a * (1 - k / 20) + b * k / 20 for k in range(20)]
+    assert len(media.shots(drift, 25.0)) == 1
+
+
+def test_clips(spark, docs, rows, none):
+    clips = media.clips(media.stored(docs)).collect()
+    assert {r.doc_id for r in clips} == {r["doc_id"] for r in rows} and all(r.end_s > r.start_s for r in clips)
+    assert media.clips(media.stored(none)).count() == 0
+
+
+def test_query(spark, sf):
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = media.op10_media(spark, sf).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        raw = texts[r.doc_id]
+        padded = raw + bytes(-len(raw) % 64 if raw else 64)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))

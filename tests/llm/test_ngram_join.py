@@ -1,0 +1,79 @@
+import random
+
+from relspark.llm import ngram_join
+from relspark.llm.ngram_join import banding
+from relspark.llm.shingles import shingles
+
+
+def grams(text):
+    w = [x for x in (text or "").translate({9: 32, 10: 32, 11: 32, 12: 32, 13: 32}).split(" ") if x]
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute(rows):
+    """doc_id -> (class, links) from all pairs."""
+    sets = [grams(t) for _, t in rows]
+    root, links = list(range(len(rows))), [0] * len(rows)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and len(a & b) >= 0.8 * len(a | b):
+                links[i] += 1
+                links[j] += 1
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    least = {}
+    for k, r in enumerate(root):
+        least.setdefault(r, []).append(rows[k][0])
+    ids = {r: min([x for x in v if x is not None], default=None) for r, v in least.items()}
+    return sorted(((rows[k][0], rows[k][0] if not sets[k] else ids[r], n) for k, (r, n) in enumerate(zip(root, links))), key=str)
+
+
+def got(df, **how):
+    return sorted(((r.doc_id, r.class_id, r.n_links) for r in ngram_join.links(df, **how).collect()), key=str)
+
+
+def test_shingles_are_the_distinct_word_grams():
+    for text in ("", " \n", "a", "a b c d", "a b c d e f", "a b a b a b a b a b", "é\tx\ny  z\x0b漢 a b c d e"):
+        assert len(shingles(text)) == len(grams(text))
+    assert list(shingles("a b  c\nd e")) == list(shingles(" a b c d\te")) and list(shingles("ab c d e f")) != list(shingles("a bc d e f"))
+
+
+def test_bands_reach_the_recall():
+    bands, rows = banding(0.8, 0.999)
+    assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= 128
+
+
+def test_against_all_pairs_on_odd_rows(docs, rows):
+    assert got(docs) == brute([(r["doc_id"], r["text"]) for r in rows])
+
+
+def test_against_all_pairs_on_a_chain_of_near_copies(spark):
+    r = random.Random(5)
+    base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for k in range(120):  # each copy has a few more edits, so that some pairs link and others don't
+        w = list(base)
+        for _ in range(k % 9):
+            w[r.randrange(200)] = f"v{r.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    rows += [(200 + k, rows[3][1]) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert 0 < sum(n for *_, n in want) < 160 * 159
+    assert got(df) == want
+    assert got(df, block=5000) == want  # many blocks
+
+
+def test_one_of_each(spark, docs, none):
+    kept = ngram_join.one_of_each(docs)
+    ids = sorted((r.doc_id for r in kept.collect()), key=str)
+    assert kept.columns == docs.columns and 1 in ids and 6 not in ids and 7 not in ids and {2, 3, 5} <= set(ids) and None in ids
+    twice = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "a b c"), (3, "z")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in ngram_join.one_of_each(twice).collect()) == [1, 3]
+    assert ngram_join.links(none).count() == 0 and ngram_join.one_of_each(none).count() == 0
+
+
+def test_query_against_brute_force(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    out = sorted(((r.doc_id, r.class_id, r.n_links) for r in ngram_join.op2_ngram_join(spark, sf).collect()), key=str)
+    assert out == brute(rows)

@@ -1,0 +1,34 @@
+import re
+
+from relspark.llm import url_filter as u
+from tests.test_entry import same
+
+
+def test_query(spark, sf):
+    same(spark, sf, "op8", u.op8_url_filter, u.SQL)
+
+
+def slow(url, hosts, patterns):
+    """Every rule on every URL."""
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+    host, path = (m[1].translate({c: c + 32 for c in range(65, 91)}), m[2]) if m else ("", "")
+    fits = [(len(h + p), h + p, v) for h, p, v in hosts if (host == h or host.endswith(f".{h}")) and path.startswith(p)]
+    hit = lambda p: re.search(u.pattern_rule(p)[3], host + path)
+    method = "block" if any(map(hit, (p for p in patterns if p[:2] != "@@"))) and not any(map(hit, (p for p in patterns if p[:2] == "@@"))) else "allow"
+    return host, path, max(fits)[1] if fits else None, max(fits)[2] if fits else method
+
+
+def test_against_every_rule_on_every_url(spark):
+    urls = [None, "", "no scheme", "http://", "http://net/", "http://a.net", "HTTP://A.B.NET/x?y#z", "https://example.net/en/1", "https://x.example.net/en", "http://notexample.com/de/1", "http://example.com/de/1#a", "ftp://x.org/fr/", "http://org/fr/",
+            "http://ads-track.example.com/", "http://m.cheap-pills.x", "http://adult-x.example.org/q", "http://help.adult-x.example.org/q", "http://casino/", "http://mycasino/", "http://a.casino", "http://h/banner/1/click", "http://h/banner/1/clicks", "http://h/wp-login.php?x", "http://ü/é://b", "http://a://b/c", "http://h/" + "a/" * 9000]
+    df = spark.createDataFrame([(k if k else None, x, "h", "p") for k, x in enumerate([*urls, *urls[:3]])], "page_id long, url string, host string, rule string")
+    patterns = [*u.PATTERNS, "lick*", "^x^"]
+    out = sorted((tuple(r) for r in u.judged(df, u.HOST_RULES, patterns).collect()), key=str)
+    assert out == sorted(((k if k else None, *slow(x, u.HOST_RULES, patterns)) for k, x in enumerate([*urls, *urls[:3]])), key=str)
+    assert u.judged(df.limit(0)).count() == 0 and {r.verdict for r in u.judged(df, [], []).collect()} == {"allow"}
+
+
+def test_rules_are_filed_under_their_rarest_token(spark):
+    tokens = spark.createDataFrame([("a", "example")] * 5 + [("a", "net")] * 3 + [("a", "en")] * 9 + [("a", "banner")], "subject string, token string")
+    filed = {r.rule: r.token for r in u.index(tokens, [*(u.host_rule(*x) for x in u.HOST_RULES), u.pattern_rule("/banner/*/click^"), u.pattern_rule("*x*")]).collect()}
+    assert filed["example.net/en/"] == "net" and filed["net/"] == "net" and filed["/banner/*/click^"] == "click" and filed["*x*"] == ""
