@@ -55,7 +55,26 @@ def key_of(name: str, attributes: str) -> str:
 def excluded(key: str, inside: bool) -> bool:
     """Whether an element is left out; ``inside`` an article or main part its header belongs to it."""
     name, *words = key.split(".")
-    return (name in EXCLUDED and not (inside and name == "header")) or not WORDS.isdisjoint(words)
+    return (name in EXCLUDED and not (inside and name == "header")) or (name not in ("html", "body", "main") and not WORDS.isdisjoint(words))
+
+
+def skipped(node: list, inside: bool) -> bool:
+    """Whether an element is left out. A form, or an element named by such words, that holds the page's article or main part is only its frame."""
+    if not excluded(node[0], inside):
+        return False
+    name = node[0].split(".")[0]
+    return inside or (name in EXCLUDED and name != "form") or not holds_main(node)
+
+
+def holds_main(node: list) -> bool:
+    rest = [c for c in node[1] if not isinstance(c, str)]
+    while rest:
+        c = rest.pop()
+        if not excluded(c[0], True):
+            if c[0].split(".")[0] in ("article", "main"):
+                return True
+            rest += [x for x in c[1] if not isinstance(x, str)]
+    return False
 
 
 def landmark(key: str) -> int:
@@ -140,7 +159,7 @@ def expression(node: list, inside: bool = False) -> list:
         if isinstance(c, str):
             items.append(["#", False, False, clear(c)])
         else:
-            items.append([c[0], False, False, [] if excluded(c[0], inside) else expression(c, inside or landmark(c[0]) > 0)])
+            items.append([c[0], False, False, [] if skipped(c, inside) else expression(c, inside or landmark(c[0]) > 0)])
     return repeated(items)
 
 
@@ -272,7 +291,7 @@ def extract(page: str | None, wrapper: list) -> str:
                 template = item is not None and item[3] is not None and slots
                 if run and (content if mark else not template):
                     kept.append(run)
-            elif not excluded(key, inside):
+            elif not skipped(c, inside):
                 at = landmark(key)
                 walk(c, item[3] if item and item[3] else [], inside or at > 0, content or (mark > 0 and at == mark))
 

@@ -42,6 +42,11 @@ def test_article():
     assert h.extract(None, []) == "" and h.extract("", []) == "" and h.extract("<!-- never closed <p>x", []) == "" and h.extract("a < b", []) == "a < b"
 
 
+def test_frames_of_the_article_stay():
+    page = '<body class="with-sidebar"><form id="page"><div class="layout sidebar-left"><div class="sidebar">s</div><article class="post"><header><h1>H</h1></header><p>T</p></article><div class="comments"><article class="comment"><p>c</p></article></div></div></form></body>'
+    assert h.extract(page, wrapper(page)) == "H T"
+
+
 def test_template_without_landmarks():
     page = "<div><p>Welcome to our site</p><h2>{}</h2><div>{}</div></div>".format
     w = wrapper(page("One", "Text one"), page("Two", "Text two"), page("Three", "Text three"))
