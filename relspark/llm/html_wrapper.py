@@ -36,6 +36,8 @@ RAW = frozenset("script style noscript template iframe svg math textarea title o
 VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
 ENDS = {"p": BLOCKS | {"nav", "header", "footer", "aside", "form", "hr"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "head": {"body"}, "option": {"option"}}
 WORDS = frozenset("nav navbar navigation menu menubar header masthead footer sidebar aside ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay subscribe subscription newsletter paywall signup login search comment comments commentlist discussion disqus replies respond share sharing social related recommended breadcrumb breadcrumbs pagination pager toolbar widget complementary contentinfo hidden".split())
+#: Words of parts that are never the frame of a page, whatever they hold.
+STRICT = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion comment comments commentlist discussion disqus replies respond related recommended popup modal newsletter hidden".split())
 LANDMARKS = (("article",), ("main",), ("content", "post", "entry", "story"))
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][\w:-]*+)([^>]*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -63,17 +65,18 @@ def skipped(node: list, inside: bool) -> bool:
     if not excluded(node[0], inside):
         return False
     name = node[0].split(".")[0]
-    return inside or (name in EXCLUDED and name != "form") or not holds_main(node)
+    return inside or (name in EXCLUDED and name != "form") or not STRICT.isdisjoint(node[0].split(".")) or not holds_main(node)
 
 
 def holds_main(node: list) -> bool:
     rest = [c for c in node[1] if not isinstance(c, str)]
     while rest:
-        c = rest.pop()
-        if not excluded(c[0], True):
-            if c[0].split(".")[0] in ("article", "main"):
+        key, children = rest.pop()
+        name, *words = key.split(".")
+        if (name not in EXCLUDED or name == "form") and STRICT.isdisjoint(words):
+            if name in ("article", "main"):
                 return True
-            rest += [x for x in c[1] if not isinstance(x, str)]
+            rest += [x for x in children if not isinstance(x, str)]
     return False
 
 
