@@ -12,13 +12,14 @@ that the wrapper holds constant is the host's template and goes, and its slots a
 
 Defined cases: null or empty html gives an empty text; a null url, or one without host, shares one wrapper with all others such; pages
 that are alone on their host, or copies of one page, have no slots yet, so nothing counts as template; broken markup is read as browsers do in the main (implied ends, ignored stray ends; an unclosed
-comment, script or style goes on to the end); equal rows give equal texts; an empty table gives an empty result; other columns are not read."""
+comment, script or style goes on to the end; below a depth of ``DEEP`` children stand among their parent's); equal rows give equal texts; an empty table gives an empty result; other columns are not read."""
 
 from __future__ import annotations
 
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, in_small_batches, sized, table
 
-PERIOD, LONG, HOSTS, SALTS = 4, 48, 2000, 64
+PERIOD, LONG, HOSTS, SALTS, DEEP = 4, 48, 2000, 64, 60
 
 # Element names and words, as HTML and common practice use them.
 BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary fieldset center hgroup search".split())
@@ -90,6 +91,7 @@ def parse(page: str) -> list:
     """[key, children] of the page's root; a child is such a list or a text run."""
     root: list = ["", []]
     stack, at, open_text = [root], 0, False
+    opened: Counter = Counter()
 
     def text(run: str, join: bool = False) -> None:
         nonlocal open_text
@@ -102,6 +104,7 @@ def parse(page: str) -> list:
 
     def close(depth: int) -> None:
         nonlocal open_text
+        opened.subtract(n[0].split(".")[0] for n in stack[depth:])
         del stack[depth:]
         open_text = False
 
@@ -117,9 +120,8 @@ def parse(page: str) -> list:
             continue
         name = name.lower()
         if end:
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0].split(".")[0] == name), 0)
-            if depth:
-                close(depth)
+            if opened[name] > 0:
+                close(next(d for d in range(len(stack) - 1, 0, -1) if stack[d][0].split(".")[0] == name))
             continue
         if name in RAW:
             stop = re.compile(rf"</{name}\b[^>]*+(?:>|\Z)", re.I).search(page, at)
@@ -137,9 +139,13 @@ def parse(page: str) -> list:
                     break
                 if stack[depth][0].split(".")[0] in ("ul", "ol", "dl", "table", "div", "article", "section", "main", "body"):
                     break
-            node: list = [key, []]
-            stack[-1][1].append(node)
+            if len(stack) > DEEP and (not excluded(key, True) or len(stack) > 2 * DEEP):
+                node: list = [key, stack[-1][1]]  # too deep: its children stand among its parent's
+            else:
+                node = [key, []]
+                stack[-1][1].append(node)
             stack.append(node)
+            opened[name] += 1
             open_text = False
     return root
 

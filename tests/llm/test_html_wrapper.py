@@ -47,6 +47,13 @@ def test_frames_of_the_article_stay():
     assert h.extract(page, wrapper(page)) == "H T"
 
 
+def test_deep_and_odd_markup():
+    deep = "<div>" * 5000 + "<p>in</p>" + "</div>" * 5000 + "<p>out</p>"
+    assert h.extract(deep, wrapper(deep, deep)) == "in out"
+    assert h.extract("<div class='sidebar'>" * 3000 + "<article>x</article>", []) in ("", "x") and h.extract("</p></b>a</div><p", []) == "a"
+    assert h.extract("<p title='unclosed>a</p><p>b", []) in ("b", "a b")
+
+
 def test_template_without_landmarks():
     page = "<div><p>Welcome to our site</p><h2>{}</h2><div>{}</div></div>".format
     w = wrapper(page("One", "Text one"), page("Two", "Text two"), page("Three", "Text three"))
