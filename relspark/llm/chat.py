@@ -24,7 +24,7 @@ START, MIDDLE, END = "<|", "|>\n", "<|end|>\n"
 
 def numbered(turns: DataFrame) -> DataFrame:
     """pair_id, place (0, 1, …), role, text of turns (pair_id, turn, role, text)."""
-    rows = cut(ranked(turns.select("pair_id", "turn", "role", "text"), [F.col("pair_id").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]))
+    rows = cut(ranked(turns.select("pair_id", "turn", "role", "text"), [F.col("pair_id").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")], deal=2))
     first = rows.groupBy(F.col("pair_id").alias("of_")).agg(F.min("rank").alias("first_"))
     return rows.join(first, F.col("pair_id").eqNullSafe(F.col("of_"))).select("pair_id", (F.col("rank") - F.col("first_")).alias("place"), "role", "text")
 

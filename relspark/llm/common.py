@@ -49,13 +49,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ranked(df: DataFrame, order: Sequence[Column], sums: Sequence[str] = (), rank: str = "rank") -> DataFrame:
+def ranked(df: DataFrame, order: Sequence[Column], sums: Sequence[str] = (), rank: str = "rank", deal: int | None = None) -> DataFrame:
     """``df`` with ``rank`` (0, 1, … in ``order`` over all rows) and ``before_<c>`` (sum of c over the rows before) for each of ``sums``.
 
     Rows are dealt by range, so a hot key is spread as long as ``order`` tells its rows apart; each range is numbered by itself
     and shifted by the totals of the ranges before it (one row per range, so their running sum is small). The dealt rows
-    are cut first, because a second sampling could draw the ranges elsewhere."""
-    dealt = cut(df.repartitionByRange(partitions(df.sparkSession), *order).withColumn("range_", F.spark_partition_id()))
+    are cut first, because a second sampling could draw the ranges elsewhere. ``deal``: so many columns of ``order`` deal the rows; the driver samples
+    these, so long texts should not be among them."""
+    dealt = cut(df.repartitionByRange(partitions(df.sparkSession), *order[:deal]).withColumn("range_", F.spark_partition_id()))
     totals = dealt.groupBy("range_").agg(F.count(F.lit(1)).alias("rows_"), *[F.sum(c).alias(f"sum_{c}_") for c in sums])
     earlier = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
     shift = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
