@@ -3,7 +3,8 @@
 Every document of a source expects ``target / source size`` copies. The documents of a source stand in order of size, the
 expected copies are summed along that order from a random offset, and a document is emitted once for every integer that the
 sum crosses at it. In order of size, each run of similar documents gives its share, so the words taken stay within
-about one large document of the target.
+about one large document of the target. Of the random offset and those ``1 / TRIALS`` apart from it, each source takes the one whose words come nearest
+to its target, which helps sources of few documents.
 
 Defined cases: a null text has size 0; null is a source of its own, last in order; a source without words has target 0 and gives
 no copies; documents of equal size stand by id, and rows equal in both are interchangeable; an empty table gives an empty
@@ -22,7 +23,7 @@ from .common import WORD, cut, ranked, sized
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
-SEED = 17
+SEED, TRIALS = 17, 16
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -61,15 +62,19 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     placed = ranked(narrow, [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id")], rank="rank_")
     per = sized(per.withColumnRenamed("source", "source_"))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    before = F.col("rank_") - F.col("first_")
-    crossed = lambda position: F.floor(position * F.col("each_") + F.col("offset_"))
-    return (
+    crossed = lambda position, trial: F.floor(position * F.col("each_") + F.col("offset_") + trial / F.lit(float(TRIALS)))
+    taken = lambda trial: crossed(F.col("at_") + 1, trial) - crossed(F.col("at_"), trial)
+    placed = cut(
         placed.join(per, placed.source.eqNullSafe(per.source_))
         .withColumn("each_", each)
         .withColumn("offset_", offset(F.col("source"), seed))
-        .withColumn("copies", (crossed(before + 1) - crossed(before)).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies")
+        .withColumn("at_", F.col("rank_") - F.col("first_"))
+        .select("doc_id", "source", "size", "source_size", "target", "each_", "offset_", "at_", "first_")
     )
+    sums = placed.groupBy("first_", "target").agg(*[F.sum(F.col("size") * taken(F.lit(k))).alias(f"taken_{k}_") for k in range(TRIALS)])
+    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"taken_{k}_") - F.col("target")).alias("off"), F.lit(k).alias("trial_")) for k in range(TRIALS)]))
+    trials = sized(cut(sums.select("first_", nearest["trial_"].alias("trial_"))))
+    return placed.join(trials, "first_").withColumn("copies", taken(F.col("trial_")).cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
@@ -113,8 +118,9 @@ l AS (SELECT bears, place, ((SELECT (1.5 * sum(size))::DOUBLE FROM d) - cap_befo
 v AS (SELECT arg_min(level, (bears, place)) AS level FROM l WHERE level <= bears),
 t AS (SELECT source, source_size, least(cap, (SELECT level FROM v) * weight) AS target,
       ('0x' || substr(md5('17:' || coalesce(source, chr(0) || 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM w),
-p AS (SELECT doc_id, size, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS e,
+p AS (SELECT doc_id, d.source, size, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS e,
       row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id) - 1 AS pos FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-k AS (SELECT *, (floor((pos + 1) * e + u) - floor(pos * e + u))::BIGINT AS copies FROM p)
-SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM k
+k AS (SELECT p.*, k, (floor((pos + 1) * e + u + k / 16.0::DOUBLE) - floor(pos * e + u + k / 16.0::DOUBLE))::BIGINT AS copies FROM p, range(16) r(k)),
+n AS (SELECT source, arg_min(k, (off, k)) AS nearest FROM (SELECT source, k, abs(sum(size * copies) - any_value(target)) AS off FROM k GROUP BY source, k) GROUP BY source)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM k JOIN n ON k.source IS NOT DISTINCT FROM n.source AND k.k = nearest
 """
