@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -31,7 +32,7 @@ from .common import in_small_batches, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Longest word and number of words kept with their ids in each worker.
-KEPT_CHARS, KEPT_WORDS = 32, 1 << 17
+KEPT_CHARS, KEPT_WORDS = 32, 1 << 18
 INFINITE = float("inf")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -83,6 +84,7 @@ class Pieces:
         self.automaton.make_automaton()
         self.bytes_of = [b"" if kind in (UNKNOWN, CONTROL, UNUSED) else bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(SPACE, " ").encode() for p, _, kind in self.pieces]
         self.kept: dict[str, bytes] = {}
+        self.words = re.compile(f"{SPACE}| *[^ \n{SPACE}]+| +|\n")
 
     def cut(self, word: str) -> list[int]:
         """Ids of the best cut of ``word``, in which spaces are written as U+2581."""
@@ -116,21 +118,26 @@ class Pieces:
             if char not in self.single and best[i] + self.unknown > best[i + 1]:
                 best[i + 1], back[i + 1], use[i + 1] = best[i] + self.unknown, i, -1
 
+    def word_ids(self, word: str) -> bytes:
+        """The ids of a word as 32-bit numbers, kept for the next time."""
+        ids = self.kept.get(word)
+        if ids is None:
+            own = [self.byte_ids[bytes([b])] for b in SPACE.encode()] if word == SPACE else self.cut(word.replace(" ", SPACE))
+            ids = array("i", own).tobytes()
+            if len(word) <= KEPT_CHARS:
+                if len(self.kept) >= KEPT_WORDS:
+                    self.kept.clear()
+                self.kept[word] = ids
+        return ids
+
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
-        out = []
-        for word in re.findall(f"{SPACE}| *[^ \n{SPACE}]+| +|\n", f" {text}"):
-            ids = self.kept.get(word)
-            if ids is None:
-                own = [self.byte_ids[bytes([b])] for b in SPACE.encode()] if word == SPACE else self.cut(word.replace(" ", SPACE))
-                ids = array("i", own).tobytes()
-                if len(word) <= KEPT_CHARS:
-                    if len(self.kept) >= KEPT_WORDS:
-                        self.kept.clear()
-                    self.kept[word] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join(out), np.int32)
+        words = self.words.findall(f" {text}")
+        ids = list(map(self.kept.get, words))
+        if None in ids:
+            ids = [self.word_ids(w) if known is None else known for w, known in zip(words, ids, strict=True)]
+        return np.frombuffer(b"".join(ids), np.int32)
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -179,7 +186,9 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(shared.value)
         for batch in batches:
-            texts = [pieces.decode(ids or ()) for ids in batch.column("ids").to_pylist()]
+            lists = batch.column("ids")
+            ids, ends = lists.flatten().to_numpy(), np.cumsum([0, *pc.list_value_length(lists).fill_null(0).to_pylist()])
+            texts = [pieces.decode(ids[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return in_small_batches(encoded.select(*kept)).mapInArrow(decoded, schema)
