@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 #: Rows up to which a narrow table (ids, per-source sums) is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Neighbours of a node, beyond which its edges are joined by broadcast.
+HUB = 200
 #: Rows of whole texts that a Python worker gets at a time.
 BATCH = 500
 #: Runs of anything but ASCII white space.
@@ -75,12 +77,14 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v): root is the smallest node that it is connected with.
 
     Alternates large-star and small-star steps until the edges stay the same. A step is an aggregation with map-side
-    combine and an equi-join, so a node with very many neighbours is pre-aggregated and its join partition can be split."""
+    combine and an equi-join. A node with over ``HUB`` neighbours would gather them in one task of the join; such nodes, at most a
+    ``HUB``-th of the edges, are joined apart, by broadcast if they are few."""
 
     def star(e: DataFrame, both: bool) -> DataFrame:
         e = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if both else e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = e.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        far = e.join(least, "u")
+        least = cut(e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m")))
+        hubs = sized(least.filter(F.col("n") > HUB).select("u", "m"))
+        far = e.join(hubs, "u").select("u", "v", "m").union(e.join(hubs.select("u"), "u", "left_anti").join(least.filter(F.col("n") <= HUB), "u").select("u", "v", "m"))
         far = far.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if both else far.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         return far.filter("u != v").distinct()
 
