@@ -8,10 +8,10 @@ optional members, which bounds the cost of aligning. An expression has no altern
 Wrappers are folded inside each partition, then per host and salt, then per host, so a host with a third of the pages meets as many partial
 wrappers as there are partitions, never its pages. The result extracts each page: text in excluded parts (by the element
 or by words in class, id and role) goes; if the wrapper has an article or main part, the text in it is the main text; otherwise text
-that the wrapper holds constant is the host's template and goes, and its slots are the main text.
+that the wrapper holds constant on at least ``TEMPLATE`` different pages is the host's template and goes, and the rest is the main text.
 
 Defined cases: null or empty html gives an empty text; a null url, or one without host, shares one wrapper with all others such; pages
-that are alone on their host, or copies of one page, have no slots yet, so nothing counts as template; broken markup is read as browsers do in the main (implied ends, ignored stray ends; an unclosed
+that are alone on their host, or copies of one page, are one page, so nothing counts as template; broken markup is read as browsers do in the main (implied ends, ignored stray ends; an unclosed
 comment, script or style goes on to the end; below a depth of ``DEEP`` children stand among their parent's); equal rows give equal texts; an empty table gives an empty result; other columns are not read."""
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import cut, in_small_batches, sized, table
 
 PERIOD, LONG, HOSTS, SALTS, DEEP = 4, 48, 2000, 64, 60
+#: Different pages of a host that must hold a constant text before it counts as template, and digests of pages that are kept for a text.
+TEMPLATE, MANY = 2, 3
 
 # Element names and words, as HTML and common practice use them.
 BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary fieldset center hgroup search".split())
@@ -159,17 +162,32 @@ def clear(run: str) -> str:
 
 
 # An expression is a list of items [key, optional, repeated, body]: an element and the expression of its children, a group "(…)" and the
-# expression of its members, or "#", a text, whose body is the text if it is constant and None if it is a slot.
+# expression of its members, or "#", a text, whose body is [the text if it is constant and None if it is a slot, pages that held it]. Of these
+# pages the ``MANY`` least digests are kept, so uniting counts different pages right up to ``MANY`` however often and in whatever order they come.
 
 
-def expression(node: list, inside: bool = False) -> list:
-    items = []
-    for c in blocks(node):
-        if isinstance(c, str):
-            items.append(["#", False, False, clear(c)])
-        else:
-            items.append([c[0], False, False, [] if skipped(c, inside) else expression(c, inside or landmark(c[0]) > 0)])
-    return repeated(items)
+def digest(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest())
+
+
+def expression(node: list) -> list:
+    """The expression of one page. Pages with the same texts outside of excluded parts are one page."""
+    page: list[int] = []
+    texts: list[str] = []
+
+    def items_of(node: list, inside: bool) -> list:
+        items = []
+        for c in blocks(node):
+            if isinstance(c, str):
+                texts.append(clear(c))
+                items.append(["#", False, False, [texts[-1], page]])
+            else:
+                items.append([c[0], False, False, [] if skipped(c, inside) else items_of(c, inside or landmark(c[0]) > 0)])
+        return repeated(items)
+
+    whole = items_of(node, False)
+    page.append(digest("\n".join(texts)))  # one list that all texts of the page share
+    return whole
 
 
 def keys(items: list) -> list[str]:
@@ -207,7 +225,8 @@ def repeated(items: list) -> list:
 def one(a: list, b: list) -> list:
     """The item that both items with one key match."""
     if a[0] == "#":
-        return ["#", a[1] or b[1], a[2] or b[2], a[3] if a[3] == b[3] else None]
+        (text, pages), (other, more) = a[3], b[3]
+        return ["#", a[1] or b[1], a[2] or b[2], [text if text == other else None, pages if pages == more else sorted({*pages, *more})[:MANY]]]
     return [a[0], a[1] or b[1], a[2] or b[2], a[3] if a[3] == b[3] else (joined(a[3], b[3]) if a[0][0] == "(" and a[0] != "(*)" else united(a[3], b[3]))]
 
 
@@ -265,44 +284,44 @@ def united(a: list, b: list) -> list:
     return repeated(out)
 
 
-def facts(items: list) -> tuple[int, bool]:
-    """The best landmark in an expression, and whether it has a slot."""
-    best, slot = 0, False
-    for key, _, _, body in items:
-        if key == "#":
-            slot |= body is None
-        elif body:
-            inner = facts(body)
-            best, slot = max(best, inner[0], 0 if key[0] == "(" else landmark(key)), slot or inner[1]
-    return best, slot
+def best_landmark(items: list) -> int:
+    return max((max(0 if i[0][0] == "(" else landmark(i[0]), best_landmark(i[3])) for i in items if i[0] != "#" and i[3]), default=0)
+
+
+def by_key(items: list, found: dict[str, list] | None = None) -> dict[str, list]:
+    """The items of an expression by key, those in groups too."""
+    found = {} if found is None else found
+    for i in items:
+        if i[0][0] == "(":
+            by_key(i[3], found)
+        else:
+            found.setdefault(i[0], []).append(i)
+    return found
+
+
+def constant(run: str, items: list, pages: int) -> bool:
+    """Whether the text is what these items hold constant on at least so many different pages."""
+    return len({p for i in items if i[3][0] == run for p in i[3][1]}) >= pages
 
 
 def extract(page: str | None, wrapper: list) -> str:
     """The texts of the page that the wrapper's content slots match, block by block."""
     if not page:
         return ""
-    mark, slots = facts(wrapper)
     tree = parse(page)
-    own = facts(expression(tree))[0]
-    mark = min(mark, own)  # a page without the host's article part falls back on what it has
+    mark = min(best_landmark(wrapper), best_landmark(expression(tree)))  # a page without the host's article part falls back on what it has
     kept: list[str] = []
 
     def walk(node: list, items: list, inside: bool, content: bool) -> None:
-        place = 0
-        flat = [m for i in items for m in (i[3] if i[0][0] == "(" else [i])]
+        of = by_key(items)
         for c in blocks(node):
-            key = "#" if isinstance(c, str) else c[0]
-            found = next((k for k in range(place, len(flat)) if flat[k][0] == key), next((k for k in range(len(flat)) if flat[k][0] == key), None))
-            item = None if found is None else flat[found]
-            place = place if found is None else found
             if isinstance(c, str):
                 run = clear(c)
-                template = item is not None and item[3] is not None and slots
-                if run and (content if mark else not template):
+                if run and (content if mark else not constant(run, of.get("#", []), TEMPLATE)):
                     kept.append(run)
             elif not skipped(c, inside):
-                at = landmark(key)
-                walk(c, item[3] if item and item[3] else [], inside or at > 0, content or (mark > 0 and at == mark))
+                at = landmark(c[0])
+                walk(c, [m for i in of.get(c[0], []) for m in i[3]], inside or at > 0, content or (mark > 0 and at == mark))
 
     walk(tree, wrapper, False, False)
     return " ".join(kept)

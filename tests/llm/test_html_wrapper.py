@@ -62,6 +62,30 @@ def test_template_without_landmarks():
     assert h.extract(alone, wrapper(alone, alone)) == "Welcome to our site One Text one"
 
 
+def test_a_text_of_one_page_is_no_template():
+    a, b = "<div><h2>One</h2><p>Text one</p></div>", "<div><h2>Two</h2><p>Text two</p><blockquote>Only here</blockquote></div>"
+    w = wrapper(a, b)
+    assert h.extract(a, w) == "One Text one" and h.extract(b, w) == "Two Text two Only here"
+    odd = "<div class='text'><p>Own</p><p>text</p></div>"
+    assert h.extract(odd, wrapper(*[f"<article><p>{k}</p></article>" for k in range(5)], odd)) == "Own text"
+    alone = "<div><h1>Title</h1><p>a</p><p>b</p></div>"
+    assert h.extract(alone, wrapper(alone)) == h.extract(alone, wrapper(alone, alone, alone)) == "Title a b"
+
+
+def test_templates_against_brute_force():
+    """Blocks with a key each: template is what all pages that have the block hold alike, on two different pages at least."""
+    r = random.Random(7)
+    for _ in range(200):
+        names = [f"b{c}" for c in "qrstuv"]
+        pages = [{n: r.choice("xy") if n < "bt" else "w" for n in names if k == 0 or r.random() < 0.4} for k in range(r.randint(1, 5))]
+        made = ["<div>" + "".join(f"<p class={c}>{c} {t}</p>" for c, t in p.items()) + "</div>" for p in pages]
+        w = wrapper(*made)
+        for p, m in zip(pages, made, strict=True):
+            having = {c: [q for q in pages if c in q] for c in p}
+            template = {c for c in p if len({q[c] for q in having[c]}) == 1 and len({tuple(q.items()) for q in having[c]}) > 1}
+            assert h.extract(m, w) == " ".join(f"{c} {t}" for c, t in p.items() if c not in template)
+
+
 def test_groups():
     assert h.keys(h.expression(h.parse("<ul><li>a<li>b<li>c</ul>"))[0][3]) == ["li"]
     w = wrapper("<dl><dt>a<dd>b<dt>c<dd>d</dl>", "<dl><dt>a<dd>x</dl>", "<dl><dt>a<dd>x</dl><table></table>")
