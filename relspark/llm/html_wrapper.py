@@ -7,8 +7,9 @@ optional members, which bounds the cost of aligning. An expression has no altern
 
 Wrappers are folded inside each partition, then per host and salt, then per host, so a host with a third of the pages meets as many partial
 wrappers as there are partitions, never its pages. The result extracts each page: text in excluded parts (by the element
-or by words in class, id and role) goes; if the wrapper has an article or main part, the text in it is the main text; otherwise text
-that the wrapper holds constant on at least ``TEMPLATE`` different pages is the host's template and goes, and the rest is the main text.
+or by words in class, id and role) goes; text that the wrapper holds constant on at least ``TEMPLATE`` different pages (``MANY`` inside an article, main or
+content part) is the host's template and goes. What is left, mostly slots, is weighed: the main region is the page's article part, else its main part, else its content
+part, the first that holds at least ``SHARE`` of it, else the whole page. A text among the repeated siblings of one slot is a slot.
 
 Defined cases: null or empty html gives an empty text; a null url, or one without host, shares one wrapper with all others such; pages
 that are alone on their host, or copies of one page, are one page, so nothing counts as template; broken markup is read as browsers do in the main (implied ends, ignored stray ends; an unclosed
@@ -30,8 +31,11 @@ from pyspark.sql import functions as F
 from .common import cut, in_small_batches, sized, table
 
 PERIOD, LONG, HOSTS, SALTS, DEEP = 4, 48, 2000, 64, 60
-#: Different pages of a host that must hold a constant text before it counts as template, and digests of pages that are kept for a text.
+#: Different pages of a host that must hold a constant text before it counts as template: outside of article, main and content parts, and in them,
+#: where two near copies may share all but a word. MANY is also the number of digests of pages that are kept for a text.
 TEMPLATE, MANY = 2, 3
+#: Part of the page's text that its article, main or content part must hold to be the main region.
+SHARE = 1 / 3
 
 # Element names and words, as HTML and common practice use them.
 BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary fieldset center hgroup search".split())
@@ -284,10 +288,6 @@ def united(a: list, b: list) -> list:
     return repeated(out)
 
 
-def best_landmark(items: list) -> int:
-    return max((max(0 if i[0][0] == "(" else landmark(i[0]), best_landmark(i[3])) for i in items if i[0] != "#" and i[3]), default=0)
-
-
 def by_key(items: list, found: dict[str, list] | None = None) -> dict[str, list]:
     """The items of an expression by key, those in groups too."""
     found = {} if found is None else found
@@ -305,26 +305,27 @@ def constant(run: str, items: list, pages: int) -> bool:
 
 
 def extract(page: str | None, wrapper: list) -> str:
-    """The texts of the page that the wrapper's content slots match, block by block."""
+    """The texts of the page's main region that aren't the host's template, block by block."""
     if not page:
         return ""
-    tree = parse(page)
-    mark = min(best_landmark(wrapper), best_landmark(expression(tree)))  # a page without the host's article part falls back on what it has
-    kept: list[str] = []
+    kept: list[tuple[frozenset, str]] = []  # the landmarks that each text is in, and the text
 
-    def walk(node: list, items: list, inside: bool, content: bool) -> None:
+    def walk(node: list, items: list, marks: frozenset) -> None:
         of = by_key(items)
         for c in blocks(node):
             if isinstance(c, str):
                 run = clear(c)
-                if run and (content if mark else not constant(run, of.get("#", []), TEMPLATE)):
-                    kept.append(run)
-            elif not skipped(c, inside):
+                if run and not constant(run, of.get("#", []), MANY if marks else TEMPLATE):
+                    kept.append((marks, run))
+            elif not skipped(c, bool(marks)):
                 at = landmark(c[0])
-                walk(c, [m for i in of.get(c[0], []) for m in i[3]], inside or at > 0, content or (mark > 0 and at == mark))
+                walk(c, [m for i in of.get(c[0], []) for m in i[3]], marks | {at} if at else marks)
 
-    walk(tree, wrapper, False, False)
-    return " ".join(kept)
+    walk(parse(page), wrapper, frozenset())
+    volume = {mark: sum(len(run) for marks, run in kept if mark in marks) for mark in (3, 2, 1)}
+    whole = sum(len(run) for _, run in kept)
+    region = next((mark for mark, n in volume.items() if n and n >= SHARE * whole), None)
+    return " ".join(run for marks, run in kept if region is None or region in marks)
 
 
 def with_host(pages: DataFrame) -> DataFrame:

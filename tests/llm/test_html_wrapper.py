@@ -86,6 +86,25 @@ def test_templates_against_brute_force():
             assert h.extract(m, w) == " ".join(f"{c} {t}" for c, t in p.items() if c not in template)
 
 
+def test_template_inside_the_article():
+    page = "<article><h1>{0}</h1><p>Text {0}</p><p class=note>Read more on our site</p><div class=teaser><h3>Join us</h3></div></article>".format
+    w = wrapper(*map(page, "abc"))
+    assert [h.extract(page(k), w) for k in "abcd"] == [f"{k} Text {k}" for k in "abcd"]
+    two = wrapper(page("a"), page("b"), page("a"), page("b"))  # two pages, however often
+    assert h.extract(page("a"), two) == "a Text a Read more on our site Join us"
+
+
+def test_the_main_region_is_where_the_slots_are():
+    page = "<article><h3>Card {0}</h3></article><div class=text><p>{1}</p></div>".format
+    long = {k: f"{k} tells a long story " * 9 for k in "abc"}
+    w = wrapper(*[page(k, t) for k, t in long.items()])
+    assert all(t.strip() in h.extract(page(k, t), w) for k, t in long.items())
+    banner = "<article><p>The same on every page of this host, word for word</p></article><main><p>{0} is new</p></main><div><p>{0}?</p></div>".format
+    assert h.extract(banner("b"), wrapper(*map(banner, "abc"))) == "b is new"
+    usual = "<div><p>Top {0}</p></div><main><p>Before {0}</p><article><p>Story {0} goes on and on</p></article></main>".format
+    assert h.extract(usual("b"), wrapper(*map(usual, "abc"))) == "Story b goes on and on"
+
+
 def test_groups():
     assert h.keys(h.expression(h.parse("<ul><li>a<li>b<li>c</ul>"))[0][3]) == ["li"]
     w = wrapper("<dl><dt>a<dd>b<dt>c<dd>d</dl>", "<dl><dt>a<dd>x</dl>", "<dl><dt>a<dd>x</dl><table></table>")
