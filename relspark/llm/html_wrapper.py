@@ -34,6 +34,8 @@ PERIOD, LONG, HOSTS, SALTS, DEEP = 4, 48, 2000, 64, 60
 #: Different pages of a host that must hold a constant text before it counts as template: outside of article, main and content parts, and in them,
 #: where two near copies may share all but a word. MANY is also the number of digests of pages that are kept for a text.
 TEMPLATE, MANY = 2, 3
+#: Bytes of wrappers that are broadcast, and pages of a host to each copy of its wrapper where they are joined by shuffle.
+BROADCAST_BYTES, COPY_PAGES = 32 << 20, 20_000
 #: Part of the page's text that its article, main or content part must hold to be the main region.
 SHARE = 1 / 3
 
@@ -166,7 +168,7 @@ def clear(run: str) -> str:
 
 
 # An expression is a list of items [key, optional, repeated, body]: an element and the expression of its children, a group "(…)" and the
-# expression of its members, or "#", a text, whose body is [the text if it is constant and None if it is a slot, pages that held it]. Of these
+# expression of its members, or "#", a text, whose body is [the digest of the text if it is constant and None if it is a slot, pages that held it]. Of these
 # pages the ``MANY`` least digests are kept, so uniting counts different pages right up to ``MANY`` however often and in whatever order they come.
 
 
@@ -184,7 +186,7 @@ def expression(node: list) -> list:
         for c in blocks(node):
             if isinstance(c, str):
                 texts.append(clear(c))
-                items.append(["#", False, False, [texts[-1], page]])
+                items.append(["#", False, False, [digest(texts[-1]), page]])
             else:
                 items.append([c[0], False, False, [] if skipped(c, inside) else items_of(c, inside or landmark(c[0]) > 0)])
         return repeated(items)
@@ -301,7 +303,8 @@ def by_key(items: list, found: dict[str, list] | None = None) -> dict[str, list]
 
 def constant(run: str, items: list, pages: int) -> bool:
     """Whether the text is what these items hold constant on at least so many different pages."""
-    return len({p for i in items if i[3][0] == run for p in i[3][1]}) >= pages
+    of = digest(run) if items else None
+    return len({p for i in items if i[3][0] == of for p in i[3][1]}) >= pages
 
 
 def extract(page: str | None, wrapper: list) -> str:
@@ -364,10 +367,23 @@ def written(have: dict[str, list]) -> pd.DataFrame:
     return pd.DataFrame({"host": list(have), "wrapper": [json.dumps(w) for w in have.values()]}, dtype="object")
 
 
+def with_wrapper(pages: DataFrame, of: DataFrame) -> DataFrame:
+    """page_id, url, html, wrapper: by broadcast if all wrappers (host_, wrapper) are small, else by shuffle, where hosts of many pages have copies."""
+    if (of.agg(F.sum(F.octet_length("host_") + F.octet_length("wrapper"))).first()[0] or 0) <= BROADCAST_BYTES:
+        joined = pages.join(F.broadcast(of), pages.host == of.host_, "left")
+    else:
+        large = cut(pages.groupBy(F.col("host").alias("large_")).count().filter(F.col("count") > COPY_PAGES).select("large_", F.ceil(F.col("count") / COPY_PAGES).cast("int").alias("copies_")))
+        copies = F.coalesce("copies_", F.lit(1))
+        dealt = pages.join(sized(large), F.col("host") == F.col("large_"), "left").withColumn("copy", F.pmod(F.xxhash64("page_id", "url", "html"), copies)).drop("large_", "copies_")
+        copied = of.join(sized(large), F.col("host_") == F.col("large_"), "left").select("host_", "wrapper", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy_"))
+        joined = dealt.join(copied.hint("shuffle_merge"), (F.col("host") == F.col("host_")) & (F.col("copy") == F.col("copy_")), "left")
+    return joined.select("page_id", "url", "html", "wrapper")
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     pages = with_host(pages)
-    of = sized(cut(wrappers(pages)).withColumnRenamed("host", "host_"), 20_000)
+    of = cut(wrappers(pages)).withColumnRenamed("host", "host_")
 
     def extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read: dict[str, list] = {}
@@ -381,8 +397,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                 texts.append(extract(page, read[wrapper]))
             yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    joined_pages = pages.join(of, pages.host == of.host_, "left").select("page_id", "url", "html", "wrapper")
-    return in_small_batches(joined_pages).mapInPandas(extracted, "page_id long, url string, text string, n_chars long")
+    return in_small_batches(with_wrapper(pages, of)).mapInPandas(extracted, "page_id long, url string, text string, n_chars long")
 
 
 def op4_html_wrapper(spark, sf_dir: str) -> DataFrame:

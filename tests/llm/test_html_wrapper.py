@@ -1,3 +1,4 @@
+import json
 import random
 
 from relspark.llm import html_wrapper as h
@@ -134,6 +135,18 @@ def test_operator(spark, none):
     assert h.main_text(df.limit(0)).count() == 0
 
 
+def test_wrappers_hold_no_texts_and_large_ones_are_joined_by_shuffle(spark, monkeypatch):
+    assert "Two" not in json.dumps(wrapper(PAGE)) and len(json.dumps(wrapper(f"<div>{'word ' * 20000}</div>"))) < 200
+    rows = [(k, f"http://{'big' if k % 3 else 'h' + str(k)}.x/{k}", f"<div><p>Frame</p><p class=a>Text {k}</p><h2>{k}</h2></div>") for k in range(60)]
+    df = spark.createDataFrame([*rows, (99, None, None)], "page_id long, url string, html string")
+    want = sorted(map(tuple, h.main_text(df).collect()), key=str)
+    monkeypatch.setattr(h, "BROADCAST_BYTES", 100)
+    monkeypatch.setattr(h, "COPY_PAGES", 7)
+    out = h.main_text(df)
+    assert sorted(map(tuple, out.collect()), key=str) == want and len(want) == 61
+    assert "SortMergeJoin" in out._jdf.queryExecution().toString()
+
+
 def test_query(spark, sf):
     """Against a plain reading of these pages: what stands in <article>, block by block."""
     import html
