@@ -52,6 +52,139 @@ def test_shots():
     assert len(media.shots(drift, 25.0)) == 1
 
 
+SHAPE = [(1, 2, 2, 0), (2, 1, 1, 1), (3, 1, 1, 1)]
+
+
+def codes_body(number):
+    """A table of media.STANDARD as a DHT segment writes it."""
+    table = media.STANDARD[number]
+    return bytes([number, *[sum(n == length for n, _ in table) for length in range(1, 17)], *table.values()])
+
+
+def encoded(planes, wide, high, shape=SHAPE, dht="one", restart=0, sof=0xC0):
+    """A plain encoder: planes[c] is an array of block rows x blocks x 64 coefficients that fills whole units."""
+    bits, units = "", 0
+    back = {k: {v: f"{code:0{n}b}" for (n, code), v in t.items()} for k, t in media.STANDARD.items()}
+    h, v = max(s[1] for s in shape), max(s[2] for s in shape)
+    before, scan = [0] * len(shape), b""
+
+    def magnitude(x):
+        n = abs(x).bit_length()
+        return n, f"{x if x > 0 else x + (1 << n) - 1:0{n}b}" if n else ""
+
+    def flush():
+        full = bits + "1" * (-len(bits) % 8)
+        return bytes(int(full[k : k + 8], 2) for k in range(0, len(full), 8)).replace(b"\xff", b"\xff\0")
+
+    for my in range(-(-high // (8 * v))):
+        for mx in range(-(-wide // (8 * h))):
+            if restart and units and units % restart == 0:
+                scan += flush() + bytes([0xFF, 0xD0 + (units // restart - 1) % 8])
+                bits, before = "", [0] * len(shape)
+            units += 1
+            for c, (_, ch, cv, _) in enumerate(shape):
+                dc, ac = back[min(c, 1)], back[0x10 | min(c, 1)]
+                for y in range(cv):
+                    for x in range(ch):
+                        block = [int(q) for q in planes[c][my * cv + y][mx * ch + x]]
+                        n, more = magnitude(block[0] - before[c])
+                        bits, before[c], run = bits + dc[n] + more, block[0], 0
+                        for q in block[1:]:
+                            if q:
+                                while run > 15:
+                                    bits, run = bits + ac[0xF0], run - 16
+                                n, more = magnitude(q)
+                                bits, run = bits + ac[run << 4 | n] + more, 0
+                            else:
+                                run += 1
+                        bits += ac[0] if run else ""
+    scan += flush()
+    tables = [codes_body(k) for k in (0, 0x10, 1, 0x11)]
+    made = {"one": [b"".join(tables)], "many": tables, "none": []}[dht]
+    parts = [media.segment(0xDB, b"\0" + b"\2" * 64 + b"\1" + b"\3" * 64), media.segment(sof, struct.pack(">BHHB", 8, high, wide, len(shape)) + b"".join(bytes([i, a << 4 | b, q]) for i, a, b, q in shape))]
+    parts += [media.segment(0xC4, b) for b in made] + ([media.segment(0xDD, struct.pack(">H", restart))] if restart else [])
+    return b"".join([b"\xff\xd8", *parts, media.segment(0xDA, bytes([len(shape), *[x for c, s in enumerate(shape) for x in (s[0], min(c, 1) * 0x11)], 0, 63, 0])), scan, b"\xff\xd9"])
+
+
+def planes_of(r, wide, high, shape=SHAPE):
+    h, v = max(s[1] for s in shape), max(s[2] for s in shape)
+    size = [(-(-high // (8 * v)) * s[2], -(-wide // (8 * h)) * s[1]) for s in shape]
+    return [r.integers(-60, 60, (*n, 64)) * (r.random((*n, 64)) < 0.1) for n in size]
+
+
+@pytest.mark.parametrize("dht", ["one", "many", "none"])
+@pytest.mark.parametrize("restart", [0, 3])
+def test_colour_frames(dht, restart):
+    r = np.random.default_rng(3)
+    for shape in (SHAPE, [(1, 2, 1, 0), (2, 1, 1, 1), (3, 1, 1, 1)], [(1, 1, 1, 0), (2, 1, 1, 0), (3, 1, 1, 0)]):
+        planes = planes_of(r, 37, 21, shape)
+        found = media.components(encoded(planes, 37, 21, shape, dht, restart))
+        for (got, steps, across, wide, high), want, (_, h, v, q) in zip(found, planes, shape, strict=True):
+            assert (got == want.reshape(-1, 64)).all() and across == want.shape[1] and (steps == 2 + q).all()
+            assert (wide, high) == (-(-37 * h // shape[0][1]), -(-21 * v // shape[0][2]))
+        assert abs(media.histogram(found).sum() - 1) < 1e-9 and len(media.histogram(found)) == 48
+
+
+def flat(level):
+    """A colour frame of one level, 24 x 16."""
+    return encoded([np.pad(np.full((*n, 1), level), ((0, 0), (0, 0), (0, 63))) for n in ((2, 4), (1, 2), (1, 2))], 24, 16, dht="none")
+
+
+def avi(frames, how):
+    """Files without an index, with idx1, and OpenDML ones whose later frames are in an AVIX list, with and without ix."""
+    stream = struct.pack("<4s4s", b"vids", b"MJPG") + bytes(48)
+    sound = media.chunk(b"LIST", b"strl" + media.chunk(b"strh", b"auds" + bytes(52)))
+    movi = [b"".join(media.chunk(b"00wb", b"sound") + media.chunk(b"01dc", f) for f in part) for part in ((frames[:5], frames[5:]) if "dml" in how else (frames, []))]
+    head = lambda indx: media.chunk(b"LIST", b"hdrl" + media.chunk(b"avih", struct.pack("<14I", 40_000, *[0] * 13)) + sound + media.chunk(b"LIST", b"strl" + media.chunk(b"strh", stream) + indx))
+
+    def file(indx, ix):
+        out = b"AVI " + head(indx) + media.chunk(b"LIST", b"movi" + movi[0] + ix[0])
+        if how == "idx1":
+            at, index = 4, b""
+            for f in frames:
+                index += struct.pack("<4sIII4sIII", b"00wb", 0, at, 5, b"01dc", 16, at + 14, len(f))
+                at += 14 + 8 + len(f) + len(f) % 2
+            out += media.chunk(b"idx1", index)
+        out = media.chunk(b"RIFF", out)
+        return out + (media.chunk(b"RIFF", b"AVIX" + media.chunk(b"LIST", b"movi" + movi[1] + ix[1])) if movi[1] else b"")
+
+    if how != "dml ix":
+        return file(b"", (b"", b""))
+    ix, indx = [b"", b""], media.chunk(b"indx", bytes(24 + 32))
+    blank = [media.chunk(b"ix01", bytes(24 + 8 * n)) for n in (5, len(frames) - 5)]
+    data, entries, at = file(indx, blank), b"", 0
+    for k, part in enumerate((frames[:5], frames[5:])):
+        offsets = []
+        for f in part:
+            at = data.index(b"01dc" + struct.pack("<I", len(f)), at) + 8
+            offsets.append((at, len(f)))
+        ix[k] = media.chunk(b"ix01", struct.pack("<HBBI4sQI", 2, 0, 1, len(part), b"01dc", 0, 0) + b"".join(struct.pack("<II", *o) for o in offsets))
+        at = data.index(b"ix01", at)
+        entries += struct.pack("<QII", at, len(ix[k]), len(part))
+    return file(media.chunk(b"indx", struct.pack("<HBBI4sIII", 4, 0, 0, 2, b"01dc", 0, 0, 0) + entries), ix)
+
+
+@pytest.mark.parametrize("how", ["none", "idx1", "dml", "dml ix"])
+def test_files_of_others(how):
+    frames = [flat(-200)] * 4 + [b""] + [flat(200)] * 4
+    file = avi(frames, how)
+    rate, found = media.frames_of(file)
+    assert rate == 25 and found == [*frames[:4], frames[3], *frames[5:]]
+    payload, shots = media.read(file)
+    assert payload is None and [(a, b) for a, b, *_ in shots] == [(0, 5), (5, 9)]
+
+
+def test_what_is_not_supported_raises():
+    good = flat(10)
+    two_fields, progressive, cut = good + good, good.replace(b"\xff\xc0", b"\xff\xc2"), good[:-6]
+    for bad in (two_fields, progressive, cut, good[:-8] + b"\xff\xd9", b"RIFF", b"\xff\xd8\xff"):
+        with pytest.raises(ValueError):
+            media.components(bad)
+    for file in (b"", b"RIFF1234WAVE", avi([good] * 3, "none")[:-30]):
+        with pytest.raises(ValueError):
+            media.frames_of(file)
+
+
 def test_clips(spark, docs, rows, none):
     clips = media.clips(media.stored(docs)).collect()
     assert {r.doc_id for r in clips} == {r["doc_id"] for r in rows} and all(r.end_s > r.start_s for r in clips)
