@@ -124,6 +124,11 @@ def verified(similarity: float):
 def links(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id, copy_id, n_links of every row of ``docs``: the least doc_id of its class, the least doc_id with the same set, and the number
     of other rows of at least that similarity."""
+    return linked(docs, words, similarity, recall, block).select("doc_id", "class_id", "copy_id", "n_links")
+
+
+def linked(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """``links`` with node (the key of the row's n-gram set, null without words) and class (the least node of its class)."""
     bands, rows = banding(similarity, recall)
     signed = cut(signatures(docs, words, bands, rows))
     nodes = cut(signed.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")))
@@ -149,9 +154,9 @@ def links(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, r
     classed = nodes.select("node", "least_id", "copies").join(counts, "node", "left").join(roots, "node", "left").withColumn("class", F.coalesce("class", "node"))
     classed = cut(classed)
     least = classed.groupBy("class").agg(F.min("least_id").alias("class_id"))
-    classed = classed.join(least, "class").select(F.col("node").alias("node_"), "class_id", F.col("least_id").alias("copy_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    classed = classed.join(least, "class").select(F.col("node").alias("node_"), "class", "class_id", F.col("least_id").alias("copy_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     result = signed.select("doc_id", "node").join(classed, F.col("node") == F.col("node_"), "left")
-    return result.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return result.select("doc_id", "node", "class", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def gram_sets(docs: DataFrame, placed: DataFrame, words: int) -> DataFrame:
@@ -169,17 +174,31 @@ def gram_sets(docs: DataFrame, placed: DataFrame, words: int) -> DataFrame:
     return made_sets.dropDuplicates(["node"])  # rows that repeat a doc_id
 
 
-def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` without near duplicates: of each class the document with the least doc_id stays, and one of the rows that repeat it.
-    Rows without words or doc_id stay."""
-    linked = cut(links(docs, **how))
-    go = cut(linked.filter("doc_id != class_id").select(F.col("doc_id").alias("go_")).distinct())
-    twice = cut(linked.filter("doc_id = class_id AND n_links > 0").groupBy(F.col("doc_id").alias("twice_")).count().filter("count > 1").select("twice_"))
-    stay = docs.join(sized(go), F.col("doc_id") == F.col("go_"), "left_anti")
-    if twice.isEmpty():
+def one_of_each(docs: DataFrame, words: int = WORDS, **how) -> DataFrame:
+    """``docs`` without near duplicates: of each class the document with the least doc_id (of different texts with that id, the one with the least node)
+    stays, and one of the rows that repeat it. Rows without words or doc_id stay. A doc_id may stand for several texts."""
+    found = cut(linked(docs, words, **how).filter("doc_id IS NOT NULL AND node IS NOT NULL").groupBy("doc_id", "node", "class").agg(F.count(F.lit(1)).alias("n"), F.max("n_links").alias("n_links")))
+    least = cut(found.groupBy("class").agg(F.min(F.struct("doc_id", "node")).alias("least")))
+    told = found.filter("n_links > 0").join(least, "class").select(F.col("doc_id").alias("id_"), F.col("node").alias("of_"), "n", (F.struct("doc_id", "node") != F.col("least")).alias("go"))
+    told = cut(told.filter("go OR n > 1"))
+    many = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select(F.col("doc_id").alias("many_"))
+    many = cut(many.join(told, F.col("many_") == F.col("id_"), "left_semi"))  # ids with several texts, some of which go
+    of_id = told.join(many, F.col("id_") == F.col("many_"), "left_anti")
+    go, twice = cut(of_id.filter("go").select("id_")), cut(of_id.filter("NOT go").select("id_"))
+    stay = docs.join(sized(go), F.col("doc_id") == F.col("id_"), "left_anti")
+    if not twice.isEmpty():
+        again = sized(twice)
+        stay = stay.join(again, F.col("doc_id") == F.col("id_"), "left_anti").union(stay.join(again, F.col("doc_id") == F.col("id_"), "left_semi").dropDuplicates(["doc_id"]))
+    if many.isEmpty():
         return stay
-    again = sized(twice)
-    return stay.join(again, F.col("doc_id") == F.col("twice_"), "left_anti").union(stay.join(again, F.col("doc_id") == F.col("twice_"), "left_semi").dropDuplicates(["doc_id"]))
+    node_of = F.pandas_udf(lambda texts: texts.map(lambda t: set_key(g) if len(g := shingles(t, words)) else None), "binary")
+    here = F.col("doc_id") == F.col("many_")
+    several = cut(in_small_batches(stay.join(sized(many), here, "left_semi")).withColumn("node_", node_of("text")))
+    same = (F.col("doc_id") == F.col("id_")) & (F.col("node_") == F.col("of_"))
+    left = several.join(sized(cut(told.filter("go"))), same, "left_anti")
+    twice = sized(cut(told.filter("NOT go")))
+    once = left.join(twice, same, "left_anti").union(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "node_"]))
+    return stay.join(sized(many), here, "left_anti").union(once.drop("node_"))
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -77,3 +77,20 @@ def test_query_against_brute_force(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     out = sorted(((r.doc_id, r.class_id, r.n_links) for r in ngram_join.op2_ngram_join(spark, sf).collect()), key=str)
     assert out == brute(rows)
+
+
+def test_one_of_each_where_an_id_has_many_texts(spark):
+    r = random.Random(11)
+    text = lambda: [f"w{r.randrange(10**6)}" for _ in range(100)]
+    near = lambda w: " ".join([*w[:-1], "other"])
+    x, y, z, lone = text(), text(), text(), " ".join(text())
+    plain = " ".join
+    rows = [(7, plain(x)), (8, near(x)), (7, plain(y)), (3, near(y)), (7, lone), (7, lone), (5, plain(z)), (5, near(z)), (9, None), (9, ""), (None, plain(x)), (20, "b c"), (21, "b c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = [{plain(x), near(x)}, {plain(y), near(y)}, {lone}, {plain(z), near(z)}]
+    for how in ({}, {"block": 5000}):
+        out = ngram_join.one_of_each(df, **how).collect()
+        kept = [(i, t) for i, t in ((o.doc_id, o.text) for o in out) if i is not None]
+        assert [sum(t in c for _, t in kept) for c in classes] == [1, 1, 1, 1]
+        assert (7, plain(x)) in kept and (3, near(y)) in kept and (7, lone) in kept and (20, "b c") in kept
+        assert len(out) == 8 and {(9, None), (9, "")} <= set(kept) and any(o.doc_id is None for o in out)
