@@ -156,14 +156,22 @@ def train(docs: DataFrame, labels: DataFrame, chain: Sequence[str] = CHAIN, samp
     places = {t: k for k, t in enumerate(vocabulary)}
     starts = beginnings(vocabulary)
 
+    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at, counts, shapes = zip(*[vector(t, places, starts) for t in pdf["text"]], strict=True) if len(pdf) else ((), (), ())
+            yield pdf.drop(columns="text").assign(places=list(at), counts=list(counts), shapes=list(shapes))
+
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["hash_", "of_"], ignore_index=True)
-        x = dense(*zip(*[vector(t, places, starts) for t in pdf["text"]], strict=True), len(places))
+        x = dense(pdf["places"], pdf["counts"], pdf["shapes"], len(places))
         models = fitted(x, pdf[list(chain)].to_numpy(float), (pdf["hash_"].to_numpy(np.int64) % FOLDS).astype(int))
         return pd.DataFrame({"label": list(chain), "weights": [m.tolist() for m, _ in models], "limit": [limit for _, limit in models]})
 
-    # One group of at most ``sample`` rows.
-    found = {r["label"]: r for r in rows.groupBy().applyInPandas(fit, "label string, weights array<double>, limit double").collect()}
+    # One group of at most ``sample`` vectors, which have at most as many numbers as the vocabulary has words; the texts stay where they are.
+    narrow = rows.select("of_", "hash_", *chain, "text")
+    types = ", ".join(f"{c} {t}" for c, t in narrow.drop("text").dtypes)
+    narrow = in_small_batches(narrow).mapInPandas(vectors, f"{types}, places array<int>, counts array<double>, shapes array<double>")
+    found = {r["label"]: r for r in narrow.groupBy().applyInPandas(fit, "label string, weights array<double>, limit double").collect()}
     unfit = lambda k: {"weights": [*[0.0] * (len(places) + SHAPES + k), -6.9], "limit": 0.5}
     of = [found.get(c, unfit(k)) for k, c in enumerate(chain)]
     return {"chain": list(chain), "vocabulary": vocabulary, "weights": [np.array(m["weights"]) for m in of], "limits": [m["limit"] for m in of]}

@@ -1,6 +1,9 @@
 import corpus_pipeline
 from relspark.llm import ngram_join, toxicity
 
+from .test_ngram_join import brute
+from .test_toxicity import plainly
+
 
 def test_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -17,3 +20,14 @@ def test_stages(spark, sf):
     assert counts[3] > counts[2] and counts[4] == counts[3] and docs.columns == [*columns, "ids"]
     assert docs.filter("size(ids) = 0 AND length(text) > 0").count() == 0
     assert corpus_pipeline.run(spark, sf).count() == counts[4]
+
+
+def test_first_stages_against_brute_force(spark, sf):
+    """Toxicity by plain scoring with the fitted weights, and near duplicates by all pairs."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    clean = corpus_pipeline.written(spark, corpus_pipeline.safe(spark, docs, sf), "clean")
+    want = sorted((r.doc_id, r.text) for r in docs.collect() if plainly(r.text, model)[-1] < model["limits"][-1])
+    assert sorted((r.doc_id, r.text) for r in clean.collect()) == want and len(want) < docs.count()
+    least = {i: c for i, c, _ in brute(want)}
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, clean, sf).collect()) == sorted(i for i, c in least.items() if i == c)

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -64,3 +66,45 @@ def test_odd_rows(docs, none, spark):
 def test_query(spark, sf):
     out = toxicity.op5_toxicity(spark, sf)
     assert out.count() == 200 and set(r.toxic for r in out.select("toxic").distinct().collect()) <= {0, 1}
+
+
+def plainly(text, model):
+    """The chain's probabilities, word by word from the fitted weights, without the operator's code."""
+    text = text or ""
+    words = re.findall(r"\w+", text.lower())
+    seen = {}
+    for w in words:
+        for t in {w + "$", *[w[:k] for k in (4, 5, 6, 7, 8) if len(w) >= k]}:
+            seen[t] = seen.get(t, 0) + 1
+    n = max(1, len(words))
+    often = max([words.count(w) for w in set(words)], default=0)
+    shape = [math.log(1 + n) / 4, sum(map(len, words)) / max(1, len(text)), sum("A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×" for c in text) / max(1, len(text)), len(set(words)) / n, sum(map(len, words)) / n / 10, often / n]
+    out = []
+    for w in model["weights"]:
+        x = [*[math.log(1 + seen.get(t, 0)) for t in model["vocabulary"]], *shape, *out, 1.0]
+        assert len(x) == len(w)
+        z = sum(a * b for a, b in zip(x, w))
+        out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+    return out
+
+
+def test_query_against_plain_scoring(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    out = toxicity.op5_toxicity(spark, sf).collect()
+    assert sorted(r.doc_id for r in out) == sorted(texts) and len({r.toxic for r in out}) == 2
+    for r in out:
+        quality, toxic = plainly(texts[r.doc_id], model)
+        assert abs(r.p_quality - quality) < 1e-4 and abs(r.p_toxic - toxic) < 1e-4
+        assert r.toxic == (toxic >= model["limits"][1]) or abs(toxic - model["limits"][1]) < 1e-4
+
+
+def test_no_texts_are_gathered(spark, sf, monkeypatch):
+    """The one group that the models are fitted on holds vectors only."""
+    from pyspark.sql.group import GroupedData
+
+    grouped, seen = GroupedData.applyInPandas, []
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda self, *a: seen.extend(self._df.columns) or grouped(self, *a))
+    toxicity.train(*(spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels")))
+    assert "shapes" in seen and "text" not in seen
