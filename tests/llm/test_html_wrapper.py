@@ -1,5 +1,7 @@
+import itertools
 import json
 import random
+import re
 
 from relspark.llm import html_wrapper as h
 
@@ -10,37 +12,29 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 TEXT = "Title & more One boldword next <p> Two x y i1 i2"
 
 
-def wrapper(*pages):
-    whole = None
+def inferred(*pages):
+    whole = {}
     for p in pages:
-        whole = h.expression(h.parse(p)) if whole is None else h.united(whole, h.expression(h.parse(p)))
+        whole = h.united(whole, h.expression(h.Page(p)))
     return whole
 
 
-def matches(items, wrapper):
-    """Whether a wrapper, as a regular expression over keys, accepts a page's items (brute force: all splits)."""
-    if not wrapper:
-        return not items
-    (key, optional, again, body), rest = wrapper[0], wrapper[1:]
-    if optional and matches(items, rest):
-        return True
-    if key[0] == "(":
-        for k in range(1, len(items) + 1):
-            if matches(items[:k], body) and (matches(items[k:], rest) or (again and matches(items[k:], [[key, False, True, body], *rest]))):
-                return True
-        return key == "(*)" and matches(items, rest)
-    if items and items[0][0] == key and (key == "#" or matches(items[0][3], body)):
-        return matches(items[1:], rest) or (again and matches(items[1:], [[key, False, True, body], *rest]))
-    return False
+def wrapper(*pages):
+    return h.decisions(inferred(*pages))
 
 
-def plain(node):
-    return [["#", False, False, c] if isinstance(c, str) else [c[0], False, False, plain(c)] for c in h.blocks(node)]
+def regex(wrapper, at=""):
+    """The form of a place as a regular expression over keys."""
+    out = ""
+    for keys, optional, repeated in h.form(wrapper, at):
+        body = "".join(f"(?:{re.escape(k)} )" + ("?" if len(keys) > 1 else "") for k in keys)
+        out += f"(?:{body})" + {(False, False): "", (True, False): "?", (False, True): "+", (True, True): "*"}[optional, repeated]
+    return re.compile(out)
 
 
 def test_article():
-    assert h.extract(PAGE, wrapper(PAGE)) == TEXT and h.extract(PAGE, []) == TEXT
-    assert h.extract(None, []) == "" and h.extract("", []) == "" and h.extract("<!-- never closed <p>x", []) == "" and h.extract("a < b", []) == "a < b"
+    assert h.extract(PAGE, wrapper(PAGE)) == TEXT and h.extract(PAGE, {}) == TEXT
+    assert h.extract(None, {}) == "" and h.extract("", {}) == "" and h.extract("<!-- never closed <p>x", {}) == "" and h.extract("a < b", {}) == "a < b"
 
 
 def test_frames_of_the_article_stay():
@@ -51,8 +45,8 @@ def test_frames_of_the_article_stay():
 def test_deep_and_odd_markup():
     deep = "<div>" * 5000 + "<p>in</p>" + "</div>" * 5000 + "<p>out</p>"
     assert h.extract(deep, wrapper(deep, deep)) == "in out"
-    assert h.extract("<div class='sidebar'>" * 3000 + "<article>x</article>", []) in ("", "x") and h.extract("</p></b>a</div><p", []) == "a"
-    assert h.extract("<p title='unclosed>a</p><p>b", []) in ("b", "a b")
+    assert h.extract("<div class='sidebar'>" * 3000 + "<article>x</article>", {}) in ("", "x") and h.extract("</p></b>a</div><p", {}) == "a"
+    assert h.extract("<p title='unclosed>a</p><p>b", {}) in ("b", "a b")
 
 
 def test_template_without_landmarks():
@@ -103,27 +97,89 @@ def test_the_main_region_is_where_the_slots_are():
     banner = "<article><p>The same on every page of this host, word for word</p></article><main><p>{0} is new</p></main><div><p>{0}?</p></div>".format
     assert h.extract(banner("b"), wrapper(*map(banner, "abc"))) == "b is new"
     usual = "<div><p>Top {0}</p></div><main><p>Before {0}</p><article><p>Story {0} goes on and on</p></article></main>".format
-    assert h.extract(usual("b"), wrapper(*map(usual, "abc"))) == "Story b goes on and on"
+    assert h.extract(usual("b"), wrapper(*map(usual, "abc"))) == "Before b Story b goes on and on"
+
+
+def test_what_stands_beside_an_inner_article_stays():
+    page = "<div>Top {0}</div><main><p>Lead {0}</p><article><p>Story {0}</p></article><p>Tail {0}</p><div class=comments>c</div></main>".format
+    assert h.extract(page("b"), wrapper(*map(page, "abc"))) == h.extract(page("b"), {}) == "Lead b Story b Tail b"
+
+
+def test_whole_tokens_decide_inside_of_landmarks():
+    inside = "<article><p>a</p><section class='related-work'><p>b</p></section><div class='ad-hoc'>c</div><div class='search-results-study'>d</div>{}</article>".format
+    assert h.extract(inside(""), {}) == "a b c d"
+    for said in ("related", "related-posts", "ad", "x ad-slot", "comment-list", "commentList", "social-share", "sidebar-left", "newsletter-form"):
+        assert h.extract(inside(f"<div class='{said}'><p>no</p></div>"), {}) == "a b c d", said
+    assert h.extract("<div class='article-header'>no</div><article><div class='article-header'><h1>T</h1></div><p>x</p></article>", {}) == "T x"
+
+
+def test_any_depth():
+    for n in (100, 130, 3000):
+        deep = "<article>" + "<div>" * n + "in <nav>MENU</nav><div class=comments>reader comment</div><p>Body</p>" + "</div>" * n + "</article>"
+        assert h.extract(deep, wrapper(deep)) == "in Body"
+        json.dumps(inferred(deep))
 
 
 def test_groups():
-    assert h.keys(h.expression(h.parse("<ul><li>a<li>b<li>c</ul>"))[0][3]) == ["li"]
-    w = wrapper("<dl><dt>a<dd>b<dt>c<dd>d</dl>", "<dl><dt>a<dd>x</dl>", "<dl><dt>a<dd>x</dl><table></table>")
-    assert w[0][0] == "dl" and w[0][3][0][:3] == ["(dt dd)", False, True] and w[1][:2] == ["table", True]
-    long = "".join(f"<{r}>x</{r}>" for r in random.Random(1).choices(["p", "h2", "table", "pre", "ul"], k=300))
-    assert h.keys(wrapper(long)) == ["(*)"]
+    w = inferred("<ul><li>a<li>b<li>c</ul>")
+    assert h.form(w) == [(["ul"], False, False)] and h.form(w, h.place("", "ul")) == [(["li"], False, True)]
+    w = inferred("<dl><dt>a<dd>b<dt>c<dd>d</dl>", "<dl><dt>a<dd>x</dl>", "<dl><dt>a<dd>x</dl><table></table>")
+    assert h.form(w) == [(["dl"], False, False), (["table"], True, False)] and h.form(w, h.place("", "dl")) == [(["dd", "dt"], True, True)]
+    w = inferred("<h1>a</h1><p>b</p>", "<h1>a</h1><pre>x</pre><p>b</p><p>c</p>", "<p>b</p><h4>z</h4>")
+    assert h.form(w) == [(["h1"], True, False), (["pre"], True, False), (["p"], False, True), (["h4"], True, False)]
+    long = "".join(f"<{t}>x</{t}>" for t in random.Random(1).choices(["p", "h2", "table", "pre", "ul"], k=300))
+    assert h.form(inferred(long)) == [(["h2", "p", "pre", "table", "ul"], True, True)]
 
 
-def test_wrappers_accept_the_pages_they_are_made_of():
-    r = random.Random(4)
+def random_page(r, depth=0):
+    return "".join(f"<{t}>{random_page(r, depth + 1) if depth < 2 and t == 'div' else r.choice(['x', 'y'])}</{t}>" for t in r.choices(["p", "h2", "div", "table"], k=r.randint(1, 4)))
 
-    def page(depth=0):
-        return "".join(f"<{t}>{page(depth + 1) if depth < 2 and t == 'div' else r.choice(['x', 'y'])}</{t}>" for t in r.choices(["p", "h2", "div", "table"], k=r.randint(1, 4)))
 
+def test_wrappers_accept_the_pages_they_are_made_of():
+    r = random.Random(4)
     for _ in range(60):
-        pages = [page() for _ in range(2)]
-        w = wrapper(*pages)
-        assert all(matches(plain(h.parse(p)), w) for p in pages), pages
+        pages = [random_page(r) for _ in range(3)]
+        w = inferred(*pages)
+        for page in map(h.Page, pages):
+            for k, row in enumerate(page.children):
+                assert regex(w, page.places[k]).fullmatch("".join(f"{key} " for key in row)), pages
+
+
+def test_wrappers_do_not_depend_on_the_order_of_pages():
+    r = random.Random(6)
+    for _ in range(20):
+        pages = [random_page(r) for _ in range(4)]
+        assert len({json.dumps(inferred(*order), sort_keys=True) for order in itertools.permutations(pages)}) == 1
+        a, b = inferred(*pages[:2]), inferred(*pages[2:])
+        assert json.dumps(h.united(a, b), sort_keys=True) == json.dumps(inferred(*pages), sort_keys=True)
+
+
+HOST = """<body><div class=x><p>Welcome, reader {0}</p></div><article><p class=k>Kindly supported by our patrons</p><h1>{0}</h1><p>Story {0}</p>
+<div><h4>Write to us</h4></div></article></body>""".format
+
+
+def test_the_wrapper_decides_beside_a_landmark(spark):
+    """Texts differ from those without the host's wrapper, and don't depend on how the pages are dealt."""
+    rows = [(k, f"http://h.x/{k}", HOST(f"n{k} " * (k % 7 + 1))) for k in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    results = []
+    for n in (1, 7, 23):
+        out = h.main_text(df.repartition(n, "page_id")).collect()
+        results.append(sorted((r.page_id, r.text) for r in out))
+    assert results[0] == results[1] == results[2]
+    for (page_id, text), (_, _, page) in zip(results[0], rows, strict=True):
+        alone = h.extract(page, wrapper(page))
+        name = " ".join(["n%d" % page_id] * (page_id % 7 + 1))
+        assert text == f"{name} Story {name}" and alone == f"Kindly supported by our patrons {name} Story {name} Write to us"
+
+
+def test_pages_of_a_host_share_their_region():
+    """On most pages the article is a card; one page with a long card doesn't change what the main region is."""
+    page = "<article><h3>Card {0}</h3></article><div class=text><p>{1}</p></div>".format
+    usual = [page(k, f"{k} tells a long story " * 9) for k in "abcdef"]
+    odd = page("word " * 30, "Short text")
+    assert h.extract(odd, wrapper(odd)) == "Card " + ("word " * 30).strip()
+    assert h.extract(odd, wrapper(odd, *usual)).endswith("Short text")
 
 
 def test_operator(spark, none):
@@ -136,7 +192,7 @@ def test_operator(spark, none):
 
 
 def test_wrappers_hold_no_texts_and_large_ones_are_joined_by_shuffle(spark, monkeypatch):
-    assert "Two" not in json.dumps(wrapper(PAGE)) and len(json.dumps(wrapper(f"<div>{'word ' * 20000}</div>"))) < 200
+    assert "Two" not in json.dumps(inferred(PAGE)) and len(json.dumps(inferred(f"<div>{'word ' * 20000}</div>"))) < 300
     rows = [(k, f"http://{'big' if k % 3 else 'h' + str(k)}.x/{k}", f"<div><p>Frame</p><p class=a>Text {k}</p><h2>{k}</h2></div>") for k in range(60)]
     df = spark.createDataFrame([*rows, (99, None, None)], "page_id long, url string, html string")
     want = sorted(map(tuple, h.main_text(df).collect()), key=str)
