@@ -41,7 +41,48 @@ def test_pairs(spark):
 def test_loss_covers_the_reply(spark):
     turns = [(1, 0, "user", "q"), (1, 1, "assistant", "good"), (2, 0, "user", "r"), (2, 1, "assistant", "other"), (2, 2, "user", "bye"), (3, 0, "user", "none")]
     df = spark.createDataFrame(turns, "pair_id long, turn long, role string, text string")
-    rows = chat.preference(df, chat.with_other_reply(df)).collect()
+    rows = chat.against_next_reply(df).collect()
     covered = {(r.pair_id, r.part): r.rendered[r.loss_from : r.loss_to] for r in rows if r.loss_from is not None}
     assert covered == {(1, "chosen"): "good<|end|>", (1, "rejected"): "other<|end|>", (2, "chosen"): "other<|end|>", (2, "rejected"): "good<|end|>"}
     assert sum(r.part == "prompt" for r in rows) == 3
+
+
+def sort_key(r):
+    return (r[0] is None, r[0] or 0, r[1] is None, r[1] or 0, r[2] is not None, r[2] or "", r[3] is not None, r[3] or "")
+
+
+def brute_replies(turns):
+    """Chosen and rejected turns, numbered anew, from plain lists."""
+    talks = defaultdict(list)
+    for pair, _, role, text in sorted(turns, key=sort_key):
+        talks[pair].append((role, text))
+    order = sorted((p for p, t in talks.items() if any(role == "assistant" for role, _ in t)), key=lambda p: (p is None, p or 0))
+    at = {p: max(k for k, (role, _) in enumerate(talks[p]) if role == "assistant") for p in order}
+    rejected = dict(talks)
+    for k, p in enumerate(order):
+        after = order[(k + 1) % len(order)]
+        rejected[p] = [*talks[p][: at[p]], talks[after][at[after]]]
+    return [[(p, k, *x) for p, t in side.items() for k, x in enumerate(t)] for side in (talks, rejected)]
+
+
+def test_next_replies_with_nulls_ties_and_repeated_rows(spark):
+    turns = [
+        (1, 0, "user", "q"), (1, None, "assistant", "no number"), (1, 1, "user", "more"), (2, None, "user", "x"), (2, None, "assistant", "y"), (2, None, "user", "z"),
+        (3, 0, "user", "a"), (3, 0, "user", "b"), (3, 0, "user", "a"), (3, 1, "assistant", "c"), (3, 1, "assistant", "b"), (3, 1, "user", "w"),
+        (None, 0, "user", "n"), (None, 1, "assistant", None), (None, 1, "assistant", None), (4, 0, None, "only"), (5, 0, "assistant", "y"), (6, 2, "assistant", "y"), (6, 3, "user", "bye"),
+        *[(7, 1, "user", "same")] * 50, (7, 2, "assistant", "end"), (8, 1, "assistant", ""),
+    ]
+    df = spark.createDataFrame([(*t, 1) for t in turns], "pair_id long, turn long, role string, text string, place int")
+    assert sorted((tuple(r) for r in chat.against_next_reply(df).collect()), key=str) == brute(*brute_replies(turns))
+
+
+def test_sides_with_nulls_ties_and_repeated_rows(spark):
+    a = [(1, None, "user", "q"), (1, 0, "user", "p"), (1, 0, "user", "p"), (1, 0, "user", None), (2, 0, "user", "x"), (2, 0, "user", "x"), (2, 0, "user", "x"), (3, None, "assistant", "r")]
+    b = [(1, None, "user", "q"), (1, 0, "user", "p"), (1, 0, "user", "p"), (1, 0, "user", ""), (2, 5, "user", "x"), (2, 6, "user", "x"), (3, None, "assistant", "r"), (3, None, "assistant", "r")]
+    frame = lambda rows: spark.createDataFrame(rows, "pair_id long, turn long, role string, text string")
+    assert sorted((tuple(r) for r in chat.preference(frame(a), frame(b)).collect()), key=str) == brute(a, b)
+
+
+def test_texts_cross_few_shuffles(spark, sf):
+    plan = chat.op6_chat(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("sha2") <= 2 and "Python" not in plan and "Pandas" not in plan
