@@ -4,8 +4,13 @@ Reading parses the RIFF chunks of all RIFF lists, takes the frames of the first
 ``movi`` lists are walked, as they are where further lists have no index), and decodes each by itself: Huffman codes to
 coefficients, and coefficients to samples by the inverse cosine transform. Sequential JPEG of 8 bits and any components and sampling is read,
 with the standard tables where a frame leaves them out; an empty frame repeats the one before. Progressive, arithmetic or lossless frames, frames
-of two fields and broken files raise ValueError. Histograms are those of all components, each by itself. A shot begins where the difference of the
-histograms of two frames is far above those before it in the shot (``ABOVE`` standard deviations over their mean).
+of two fields and broken files raise ValueError.
+
+Shots are found by the differences of the histograms of neighbouring frames: of the samples and of the quantised coefficients, half each, all
+components by themselves. What is usual is taken from
+the file: the up to ``NEAR`` differences on both sides, and the difference of two halves of each of both frames, which is what chance makes
+in one picture. A shot begins where a difference is over their median by ``ABOVE`` deviations (of the median, as for a normal distribution), over
+``TIMES`` that median and ``TIMES`` both halves' difference, and the largest among its neighbours. No threshold is fixed.
 
 ``pack`` stores bytes without loss as what a JPEG block holds: 64 quantised coefficients. A byte b becomes the coefficient whose 8
 additional bits (category 8) are b, behind a Huffman code of one bit, and every block is followed by a restart marker, so the values stay in the
@@ -30,7 +35,8 @@ from pyspark.sql import functions as F
 from .common import in_small_batches, table
 
 BLOCK, FRAME_BLOCKS, RATE = 64, 64, 25
-BINS, BEFORE, ABOVE, LEAST = 16, 12, 3.0, 0.2
+BINS, NEAR, ABOVE, TIMES = 16, 4, 3.0, 1.25
+LEVEL, LEVELS = 8, 256
 _basis = np.cos((2 * np.arange(8)[:, None] + 1) * np.arange(8) * np.pi / 16) * np.where(np.arange(8) == 0, np.sqrt(1 / 8), 0.5)
 #: Place in the 8 x 8 block of each coefficient, along its diagonals.
 ZIGZAG = np.array(sorted(range(64), key=lambda k: (k // 8 + k % 8, (k // 8 if (k // 8 + k % 8) % 2 else k % 8))))
@@ -55,7 +61,10 @@ def frame(blocks: np.ndarray) -> bytes:
     flat, more = rows.ravel()[:-2], stuffed.ravel()[:-2]
     scan = np.zeros(len(flat) + int(more.sum()), np.uint8)
     scan[np.arange(len(flat)) + np.cumsum(more) - more] = flat
-    return b"".join([b"\xff\xd8", segment(0xDB, b"\0" + b"\1" * 64), segment(0xC0, struct.pack(">BHHBBBB", 8, 8 * n, 8, 1, 1, 0x11, 0)), segment(0xC4, b"\x00\1" + b"\0" * 15 + b"\x08"), segment(0xC4, b"\x10\1" + b"\0" * 15 + b"\x08"), segment(0xDD, struct.pack(">H", 1)), segment(0xDA, b"\1\1\0\0\x3f\0"), scan.tobytes(), b"\xff\xd9"])
+    header = struct.pack(">BHHBBBB", 8, 8 * n, 8, 1, 1, 0x11, 0)
+    one_code = b"\1" + b"\0" * 15 + b"\x08"
+    parts = [(0xDB, b"\0" + b"\1" * 64), (0xC0, header), (0xC4, b"\x00" + one_code), (0xC4, b"\x10" + one_code), (0xDD, b"\0\1"), (0xDA, b"\1\1\0\0\x3f\0")]
+    return b"".join([b"\xff\xd8", *[segment(*p) for p in parts], scan.tobytes(), b"\xff\xd9"])
 
 
 def chunk(name: bytes, body: bytes) -> bytes:
@@ -75,7 +84,8 @@ def pack(payload: bytes) -> bytes:
         index.append(struct.pack("<4sIII", b"00dc", 0x10, at, len(f)))
         at += 8 + len(f) + len(f) % 2
     lists = chunk(b"LIST", b"hdrl" + chunk(b"avih", head) + chunk(b"LIST", b"strl" + chunk(b"strh", stream) + chunk(b"strf", kind)))
-    return chunk(b"RIFF", b"AVI " + lists + chunk(b"LIST", b"movi" + b"".join(chunk(b"00dc", f) for f in frames)) + chunk(b"idx1", b"".join(index)))
+    movi = chunk(b"LIST", b"movi" + b"".join(chunk(b"00dc", f) for f in frames))
+    return chunk(b"RIFF", b"AVI " + lists + movi + chunk(b"idx1", b"".join(index)))
 
 
 def chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
@@ -121,7 +131,8 @@ def frames_of(media: bytes) -> tuple[float, list[bytes]]:
         places = []
         for name, _, at, size in struct.iter_unpack("<4sIII", idx1[: len(idx1) // 16 * 16]):
             if name in own:
-                start = movis[0][0] + at if media[movis[0][0] + at : movis[0][0] + at + 4] == name else at  # offsets count from "movi" or from the file's start
+                start = movis[0][0] + at  # offsets count from "movi" or from the file's start
+                start = start if media[start : start + 4] == name else at
                 if media[start : start + 4] != name:
                     raise ValueError("the index names no frame")
                 places.append((start + 8, size))
@@ -215,12 +226,19 @@ def standard(bits: str, values: str) -> dict[tuple[int, int], int]:
     return codes_of(b"\0" + bytes.fromhex(bits) + bytes.fromhex(values))
 
 
-#: The tables of the JPEG standard (annex K), which frames of motion JPEG leave out.
+def rest(least: tuple[int, ...]) -> str:
+    """The symbols of long codes: for runs from 3 on the sizes from the least one given up to 10."""
+    return "".join(f"{run:x}{size:x}" for run, low in enumerate(least, 3) for size in range(low, 11))
+
+
+#: The tables of the JPEG standard (annex K), which frames of motion JPEG leave out. Fixed values.
+LUMINANCE = "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a"
+CHROMINANCE = "000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f11718191a262728292a"
 STANDARD = {
     0x00: standard("00010501010101010100000000000000", "000102030405060708090a0b"),
     0x01: standard("00030101010101010101010000000000", "000102030405060708090a0b"),
-    0x10: standard("0002010303020403050504040000017d", "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a" + "".join(f"{r:x}{z:x}" for r, low in ((3, 4), (4, 3), (5, 3), (6, 3), (7, 3), (8, 3), (9, 2), (10, 2), (11, 2), (12, 2), (13, 2), (14, 1), (15, 1)) for z in range(low, 11))),
-    0x11: standard("00020102040403040705040400010277", "000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f11718191a262728292a" + "".join(f"{r:x}{z:x}" for r, low in ((3, 5), (4, 3), (5, 3), (6, 3), (7, 3), (8, 2), (9, 2), (10, 2), (11, 2), (12, 2), (13, 2), (14, 2), (15, 2)) for z in range(low, 11))),
+    0x10: standard("0002010303020403050504040000017d", LUMINANCE + rest((4, 3, 3, 3, 3, 3, 2, 2, 2, 2, 2, 1, 1))),
+    0x11: standard("00020102040403040705040400010277", CHROMINANCE + rest((5, 3, 3, 3, 3, 2, 2, 2, 2, 2, 2, 2, 2))),
 }
 
 
@@ -370,51 +388,85 @@ def unpacked(quantised: np.ndarray) -> bytes:
     return np.where(quantised > 0, quantised, quantised + 255).astype(np.uint8).tobytes()
 
 
-def shots(histograms: list[np.ndarray], rate: float) -> list[tuple[int, int, float, float]]:
-    """(first frame, frame after the last, seconds of both) of each shot."""
-    starts, recent = [0], []
-    for k in range(1, len(histograms)):
-        difference = float(np.abs(histograms[k] - histograms[k - 1]).sum() / 2)
-        usual = recent[-BEFORE:]
-        if difference > LEAST and (len(usual) < 3 or difference > np.mean(usual) + ABOVE * np.std(usual)):
-            starts.append(k)
-            recent = []
-        else:
-            recent.append(difference)
+def shots(histograms: list[np.ndarray], rate: float, chance: list[float] | None = None) -> list[tuple[int, int, float, float]]:
+    """(first frame, frame after the last, seconds of both) of each shot. ``chance``: for each frame, the difference of its halves."""
+    chance = chance or [0.0] * len(histograms)
+    gaps = [float(np.abs(b - a).sum() / 2) for a, b in zip(histograms, histograms[1:], strict=False)]
+    starts = [0]
+    for k, gap in enumerate(gaps):
+        before, behind = gaps[max(0, k - NEAR) : k], gaps[k + 1 : k + 1 + NEAR]
+        halves = chance[k : k + 2]
+        usual = np.array([*before, *behind, *halves])
+        middle = float(np.median(usual))
+        deviation = 1.4826 * float(np.median(np.abs(usual - middle)))
+        least = max(middle + ABOVE * deviation, TIMES * max(middle, *halves))
+        if gap > least + 1e-9 and gap > max(before, default=0) and gap >= max(behind, default=0):
+            starts.append(k + 1)
     return [(a, b, a / rate, b / rate) for a, b in zip(starts, [*starts[1:], len(histograms)], strict=True)]
 
 
-def histogram(parts: list[tuple[np.ndarray, np.ndarray, int, int, int]]) -> np.ndarray:
-    """Shares of the samples inside the picture, for each component; all add up to 1."""
+def halves(parts: list[tuple[np.ndarray, np.ndarray, int, int, int]]) -> np.ndarray:
+    """Shares of the samples inside the picture, for each component, in the black and the white blocks of a chessboard (two rows); all
+    add up to 1."""
     found = []
     for quantised, steps, across, wide, high in parts:
         plane = samples(quantised, steps)
-        if wide % 8 or high % 8 or len(quantised) * BLOCK != wide * high:
-            plane = plane.reshape(-1, across, 8, 8).transpose(0, 2, 1, 3).reshape(-1, across * 8)[:high, :wide]
-        found.append(np.bincount(plane.ravel() * np.intp(BINS) // 256, minlength=BINS) / (plane.size * len(parts)))
-    return np.concatenate(found)
+        down, right = np.divmod(np.arange(len(plane)), across)
+        bins = (plane >> 4).reshape(-1, BLOCK) + ((down + right) % 2 * BINS).astype(np.uint8)[:, None]
+        if wide % 8 or high % 8 or len(plane) * BLOCK != wide * high:
+            y, x = down[:, None] * 8 + np.arange(BLOCK) // 8, right[:, None] * 8 + np.arange(BLOCK) % 8
+            bins = bins[(y < high) & (x < wide)]
+        found.append(np.bincount(bins.ravel(), minlength=2 * BINS).reshape(2, BINS) / (bins.size * len(parts)))
+    return np.concatenate(found, axis=1)
+
+
+def histogram(parts: list[tuple[np.ndarray, np.ndarray, int, int, int]]) -> np.ndarray:
+    """Shares of the samples inside the picture, for each component; all add up to 1."""
+    return halves(parts).sum(axis=0)
+
+
+def levels(parts: list[tuple[np.ndarray, np.ndarray, int, int, int]]) -> np.ndarray:
+    """The same for the quantised coefficients, in steps of ``LEVEL``."""
+    found = []
+    for quantised, _, across, _, _ in parts:
+        down, right = np.divmod(np.arange(len(quantised)), across)
+        bins = (np.clip(quantised, -1024, 1023) + 1024) // LEVEL + ((down + right) % 2 * LEVELS)[:, None]
+        found.append(np.bincount(bins.ravel(), minlength=2 * LEVELS).reshape(2, LEVELS) / (bins.size * len(parts)))
+    return np.concatenate(found, axis=1)
+
+
+def unlike(both: np.ndarray) -> float:
+    """What chance makes of the difference of two such pictures: that of the picture's halves, which have half as many samples, by the
+    root of 2; 1 if it has one block only."""
+    black, white = both.sum(axis=1)
+    return float(np.abs(both[0] / black - both[1] / white).sum() / 2 / np.sqrt(2)) if black and white else 1.0
 
 
 def read(media: bytes) -> tuple[bytes | None, list[tuple[int, int, float, float]]]:
     """The payload of a file (null if ``pack`` didn't write it) and its shots, in one pass over the decoded frames."""
     rate, frames = frames_of(media)
-    payload, histograms = [], []
+    payload, histograms, chance = [], [], []
     for f in frames:
         parts = components(f)
-        packed = len(parts) == 1 and bool((parts[0][1] == 1).all()) and bool(parts[0][0].all()) and int(np.abs(parts[0][0]).max()) <= 255
-        payload.append(unpacked(parts[0][0]) if packed else None)
-        histograms.append(histogram(parts))
+        first, steps = parts[0][:2]
+        packed = len(parts) == 1 and bool((steps == 1).all()) and bool(first.all()) and int(np.abs(first).max()) <= 255
+        payload.append(unpacked(first) if packed else None)
+        both = np.concatenate([halves(parts), levels(parts)], axis=1) / 2
+        histograms.append(both.sum(axis=0))
+        chance.append(unlike(both))
     if any(len(h) != len(histograms[0]) for h in histograms):
         most = max(map(len, histograms))
         histograms = [np.pad(h, (0, most - len(h))) for h in histograms]
-    return None if None in payload else b"".join(payload), shots(histograms, rate) if frames else []
+    return None if None in payload else b"".join(payload), shots(histograms, rate, chance) if frames else []
 
 
 def clips(media: DataFrame) -> DataFrame:
     """A row for each shot of the files in column media: the other columns, clip, first_frame, end_frame, start_s, end_s."""
 
+    names = ("clip", "first_frame", "end_frame", "start_s", "end_s")
+
     def found(series: pd.Series) -> pd.Series:
-        return series.map(lambda m: [dict(zip(("clip", "first_frame", "end_frame", "start_s", "end_s"), (k, *s), strict=True)) for k, s in enumerate(read(m)[1])] if m else [])
+        return series.map(lambda m: [dict(zip(names, (k, *s), strict=True)) for k, s in enumerate(read(m)[1])] if m else [])
 
     shot = F.pandas_udf(found, "array<struct<clip: int, first_frame: int, end_frame: int, start_s: double, end_s: double>>")
     return media.withColumn("shot_", F.explode(shot("media"))).drop("media").select("*", "shot_.*").drop("shot_")
@@ -431,7 +483,10 @@ def stored(docs: DataFrame) -> DataFrame:
     return in_small_batches(docs).select("doc_id", made("text").alias("media"))
 
 
-DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGESTS = (
+    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
+    "feature string"
+)
 
 
 def op10_media(spark, sf_dir: str) -> DataFrame:
@@ -444,7 +499,8 @@ def op10_media(spark, sf_dir: str) -> DataFrame:
                 media = pack(payload)
                 back, found = read(media)
                 feature = f"{found[-1][1]} frames: " + ", ".join(f"{a:.2f}-{b:.2f}" for _, _, a, b in found)
-                rows.append((doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+                read_back = (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]))
+                rows.append((doc_id, n, *read_back, len(media), hashlib.sha256(media).hexdigest(), feature))
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
     return in_small_batches(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")).mapInPandas(digests, DIGESTS)

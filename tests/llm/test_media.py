@@ -191,6 +191,106 @@ def test_clips(spark, docs, rows, none):
     assert media.clips(media.stored(none)).count() == 0
 
 
+# A second way to the same files and features: bits as text, sums as loops or plain matrix products
+
+
+def slow_pack(payload):
+    frames = []
+    for at in range(0, len(payload), 4096):
+        part = payload[at : at + 4096]
+        n, scan = len(part) // 64, b""
+        for k in range(n):
+            bits = "".join("0" + f"{b:08b}" for b in part[64 * k : 64 * k + 64])
+            for at_ in range(0, len(bits), 8):
+                byte = int(bits[at_ : at_ + 8], 2)
+                scan += b"\xff\0" if byte == 255 else bytes([byte])
+            scan += bytes([255, 0xD0 + k % 8]) if k < n - 1 else b""
+        code = bytes([1, *[0] * 15, 8])
+        out = b"\xff\xd8" + b"\xff\xdb" + struct.pack(">H", 67) + b"\0" + b"\1" * 64
+        out += b"\xff\xc0" + struct.pack(">HBHHBBBB", 11, 8, 8 * n, 8, 1, 1, 0x11, 0)
+        out += b"".join(b"\xff\xc4" + struct.pack(">H", 20) + c + code for c in (b"\x00", b"\x10"))
+        out += b"\xff\xdd\0\4\0\1" + b"\xff\xda\0\x08\1\1\0\0\x3f\0" + scan + b"\xff\xd9"
+        frames.append(out)
+    padded = [f + b"\0" * (len(f) % 2) for f in frames]
+    most, high = max(map(len, frames)), 8 * min(64, len(payload) // 64)
+    movi = b"movi" + b"".join(b"00dc" + struct.pack("<I", len(f)) + p for f, p in zip(frames, padded))
+    places = [4 + sum(8 + len(p) for p in padded[:k]) for k in range(len(frames))]
+    index = b"".join(b"00dc" + struct.pack("<III", 16, at, len(f)) for at, f in zip(places, frames))
+    avih = struct.pack("<14I", 40000, most * 25, 0, 16, len(frames), 0, 1, most, 8, high, 0, 0, 0, 0)
+    strh = b"vidsMJPG" + struct.pack("<IHHIIIIIIIIHHHH", 0, 0, 0, 0, 1, 25, 0, len(frames), most, 0xFFFFFFFF, 0, 0, 0, 8, high)
+    strf = struct.pack("<IiiHH4sIiiII", 40, 8, high, 1, 8, b"MJPG", 8 * high, 0, 0, 0, 0)
+    box = lambda name, body: name + struct.pack("<I", len(body)) + body
+    strl = box(b"LIST", b"strl" + box(b"strh", strh) + box(b"strf", strf))
+    return box(b"RIFF", b"AVI " + box(b"LIST", b"hdrl" + box(b"avih", avih) + strl) + box(b"LIST", movi) + box(b"idx1", index))
+
+
+COSINE = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(1 / 8) if u == 0 else 0.5) for u in range(8)] for x in range(8)])
+DIAGONALS = sorted(((y, x) for y in range(8) for x in range(8)), key=lambda p: (sum(p), p[0] if sum(p) % 2 else p[1]))
+
+
+def slow_feature(payload):
+    """The shots of the packed payload, from its bytes alone."""
+    frames, chances = [], []
+    for at in range(0, len(payload), 4096):
+        counts = [[0.0] * (16 + 256) for _ in range(2)]
+        part = payload[at : at + 4096]
+        for k in range(len(part) // 64):
+            values = [b if b >= 128 else b - 255 for b in part[64 * k : 64 * k + 64]]
+            block = np.zeros((8, 8))
+            for (y, x), v in zip(DIAGONALS, values):
+                block[y, x] = v
+                counts[k % 2][16 + (v + 1024) // 8] += 1 / len(part) / 2
+            for sample in (COSINE @ block @ COSINE.T).ravel():
+                counts[k % 2][int(min(255, max(0, round(sample + 128)))) // 16] += 1 / len(part) / 2
+        frames.append([a + b for a, b in zip(*counts)])
+        a, b = map(sum, counts)
+        chances.append(sum(abs(x / a - y / b) for x, y in zip(*counts)) / 2 / 2**0.5 if a and b else 1.0)
+    gaps = [sum(abs(x - y) for x, y in zip(a, b)) / 2 for a, b in zip(frames, frames[1:])]
+    starts = [0]
+    for k, gap in enumerate(gaps):
+        near = gaps[max(0, k - 4) : k] + gaps[k + 1 : k + 5]
+        usual = sorted(near + chances[k : k + 2])
+        median = lambda v: (sorted(v)[len(v) // 2] + sorted(v)[(len(v) - 1) // 2]) / 2
+        middle = median(usual)
+        spread = 1.4826 * median([abs(v - middle) for v in usual])
+        if gap > max(middle + 3 * spread, 1.25 * max(middle, *chances[k : k + 2])) + 1e-9 and gap >= max(near, default=0):
+            starts.append(k + 1)
+    return f"{len(frames)} frames: " + ", ".join(f"{a / 25:.2f}-{b / 25:.2f}" for a, b in zip(starts, [*starts[1:], len(frames)]))
+
+
+def test_files_and_features_by_a_second_way():
+    r = random.Random(8)
+    words = ["plain", "words", "of", "one", "kind"], ["ÄÖÜ", "%%%", "12345", "ßß", "&&&"]
+    texts = ["", "x", "ÿ" * 3000] + [" ".join(r.choices(words[k % 2], k=n)) for k, n in enumerate((1500, 900, 2000))]
+    texts += [texts[3] + texts[4] + texts[5], "\0".join(map(str, range(9000)))]
+    found = set()
+    for text in texts:
+        _, payload = media.payload_of(text)
+        file = media.pack(payload)
+        assert file == slow_pack(payload)
+        back, shots = media.read(file)
+        feature = f"{shots[-1][1]} frames: " + ", ".join(f"{a:.2f}-{b:.2f}" for _, _, a, b in shots)
+        assert back == payload and feature == slow_feature(payload)
+        found.add(len(shots))
+    assert max(found) >= 3
+
+
+def test_shots_are_where_the_language_changes(spark):
+    """Two long documents of different languages behind each other: the cut is found where they meet, and seldom anywhere else."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("length(text) > 6000").select("lang", "text").collect()
+    by, r = {}, random.Random(1)
+    for d in docs:
+        by.setdefault(d.lang, []).append(d.text.encode())
+    hits = alone = 0
+    for _ in range(60):
+        a, b = (r.choice(by[lang]) for lang in r.sample(sorted(by), 2))
+        k = len(a) // 4096
+        joined = a[: k * 4096] + b
+        hits += any(s[0] == k for s in media.read(media.pack(joined + bytes(-len(joined) % 64)))[1])
+        alone += len(media.read(media.pack(b + bytes(-len(b) % 64)))[1]) > 1
+    assert hits >= 54 and alone <= 10
+
+
 def test_query(spark, sf):
     texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     out = media.op10_media(spark, sf).collect()
@@ -199,3 +299,6 @@ def test_query(spark, sf):
         raw = texts[r.doc_id]
         padded = raw + bytes(-len(raw) % 64 if raw else 64)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        if len(padded) < 40_000:
+            file = slow_pack(padded)
+            assert (r.media_bytes, r.media_sha256, r.feature) == (len(file), hashlib.sha256(file).hexdigest(), slow_feature(padded))
