@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from relspark.llm import toxicity
 
@@ -108,3 +109,100 @@ def test_no_texts_are_gathered(spark, sf, monkeypatch):
     monkeypatch.setattr(GroupedData, "applyInPandas", lambda self, *a: seen.extend(self._df.columns) or grouped(self, *a))
     toxicity.train(*(spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels")))
     assert "shapes" in seen and "text" not in seen
+
+
+def plain_tokens(text):
+    words = set(re.findall(r"\w+", (text or "").lower()))
+    return {t for w in words for t in [w + "$", *[w[:k] for k in (4, 5, 6, 7, 8) if len(w) >= k]]}
+
+
+def plain_choice(rows, most=400, least=5):
+    """The words of (text, labels) by chi-square, with plain loops."""
+    total, sums = len(rows), [sum(y[c] for _, y in rows) for c in range(2)]
+    seen = {}
+    for text, y in rows:
+        for t in plain_tokens(text):
+            n = seen.setdefault(t, [0, 0, 0])
+            n[0] += 1
+            n[1] += y[0]
+            n[2] += y[1]
+    found = {}
+    for c in range(2):
+        if not 0 < sums[c] < total:
+            continue
+
+        def chi(t):
+            n, a = float(seen[t][0]), float(seen[t][1 + c])
+            over = a * total - n * sums[c]
+            return over * over * total / max(n * (total - n) * sums[c] * (total - sums[c]), 1.0)
+
+        order = sorted((t for t in seen if seen[t][0] >= least), key=lambda t: (-chi(t), t.encode()))
+        taken = 0
+        for t in order[: 4 * most]:
+            if taken < most and t not in found and not any(found.get(t[:k].rstrip("$")) == seen[t] for k in range(3, len(t))):
+                found[t] = seen[t]
+                taken += 1
+    return sorted(found)
+
+
+def plain_logistic(x, y):
+    """The optimum by Newton's method."""
+    x = np.c_[x, np.ones(len(x))]
+    lean, w = np.r_[np.full(x.shape[1] - 1, 0.3), 1e-6], np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(lean), x.T @ (p - y) + lean * w)
+        w = w - step
+        if np.abs(step).max() < 1e-10:
+            break
+    return w
+
+
+def plain_row(text, vocabulary):
+    text = text or ""
+    words = re.findall(r"\w+", text.lower())
+    counts = {}
+    for w in words:
+        for t in plain_tokens(w):
+            counts[t] = counts.get(t, 0) + 1
+    n = max(1, len(words))
+    often = max((words.count(w) for w in set(words)), default=0)
+    capitals = sum("A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×" for c in text)
+    shape = [math.log(1 + n) / 4, sum(map(len, words)) / max(1, len(text)), capitals / max(1, len(text)), len(set(words)) / n, sum(map(len, words)) / n / 10, often / n]
+    return [*[math.log(1 + counts.get(t, 0)) for t in vocabulary], *shape]
+
+
+def test_chain_against_plain_loops(spark, sf):
+    """The whole fit: words chosen inside folds, out-of-fold predictions of quality as an input of toxic, and both models."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.join(labels, "doc_id").select("doc_id", "text", "quality", "toxic", F.pmod(F.xxhash64("text"), F.lit(4)).alias("fold")).collect()
+    texts, y = [r.text for r in rows], np.array([[r.quality, r.toxic] for r in rows], float)
+    folds = np.array([r.fold for r in rows])
+    outside, models = np.zeros(y.shape), []
+    sets = {held: plain_choice([(t, tuple(v)) for t, v, f in zip(texts, y, folds) if f != held]) for held in (0, 1, 2, 3, None)}
+    for c in range(2):
+        for held, vocabulary in sets.items():
+            x = np.c_[np.array([plain_row(t, vocabulary) for t in texts]), outside[:, :c]]
+            here = folds == held if held is not None else np.zeros(len(folds), bool)
+            w = plain_logistic(x[~here], y[~here, c])
+            if held is None:
+                models.append(w)
+            else:
+                outside[here, c] = 1 / (1 + np.exp(-(np.c_[x[here], np.ones(here.sum())] @ w)))
+    model = toxicity.train(docs, labels)
+    assert model["vocabulary"] == sets[None]
+    whole = {d.doc_id: d.text for d in docs.collect()}
+    for r in toxicity.op5_toxicity(spark, sf).collect():
+        x = plain_row(whole[r.doc_id], sets[None])
+        quality = 1 / (1 + math.exp(-(np.r_[x, 1.0] @ models[0])))
+        toxic = 1 / (1 + math.exp(-(np.r_[x, quality, 1.0] @ models[1])))
+        assert abs(r.p_quality - quality) < 0.02 and abs(r.p_toxic - toxic) < 0.02
+
+
+def test_copies_share_a_fold(spark):
+    docs = spark.createDataFrame([(k, f"text {k % 5}") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 0, k % 2) for k in range(40)], "doc_id long, quality int, toxic int")
+    folds = {}
+    for r in toxicity.sampled(docs, labels, toxicity.CHAIN, 100).collect():
+        folds.setdefault(r.text, set()).add(r.fold_)
+    assert len(folds) == 5 and all(len(f) == 1 for f in folds.values())
