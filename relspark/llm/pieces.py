@@ -3,8 +3,9 @@
 The text, with a space before it and spaces written as U+2581, is cut into pieces so that the sum of their scores is largest. An
 Aho-Corasick automaton over all pieces reads the text once; at each position its output links give the pieces that end there, longest
 first, and each relaxes the best score there (Viterbi). Characters without a piece of their own cost the least score less 10 and
-become byte pieces. The scores stand as the file has them: with a BPE model they are merge ranks, so the best
-cut by score can differ from the one that merging in order would make.
+become byte pieces. A unigram model's scores stand as the file has them. A BPE model's are ranks, whose sum means nothing, so they become
+log-probabilities by the law of Zipf and Mandelbrot, p ~ 1 / (rank + ``FLAT``): nothing is trained, and the best cut is the likeliest one
+under that law, which can differ from the one that merging in order would make.
 
 No piece holds a space behind another character (the file is checked), so a text is cut independently at the start of each run of spaces and the cuts of
 short words are kept. Decoding gives back every text exactly: a U+2581 of the text itself is written as bytes.
@@ -15,6 +16,7 @@ space, are encoded whole in linear time; equal rows get equal ids; columns other
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import struct
 from array import array
@@ -34,6 +36,8 @@ SPACE = "▁"
 #: Longest word and number of words kept with their ids in each worker.
 KEPT_CHARS, KEPT_WORDS = 32, 1 << 18
 INFINITE = float("inf")
+#: Added to the ranks of a BPE model, and the number that the file has for that type.
+FLAT, BPE = 100, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -65,11 +69,17 @@ def fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
 class Pieces:
     def __init__(self, model: bytes):
         self.pieces: list[tuple[str, float, int]] = []
+        by_rank = False
         for of, value in fields(model):
             if of == 1:
                 piece = dict(fields(value))
                 self.pieces.append((piece[1].decode(), struct.unpack("<f", piece[2])[0] if 2 in piece else 0.0, piece.get(3, NORMAL)))
+            elif of == 2:
+                by_rank = dict(fields(value)).get(3) == BPE
         usual = {p: (i, s) for i, (p, s, kind) in enumerate(self.pieces) if kind in (NORMAL, USER)}
+        if by_rank:
+            whole = math.log(sum(1 / (FLAT - s) for _, s in usual.values()))
+            usual = {p: (i, -math.log(FLAT - s) - whole) for p, (i, s) in usual.items()}
         self.scores = {p: s for p, (_, s) in usual.items()}
         self.single = {p for p in usual if len(p) == 1}
         self.unknown = min(self.scores.values()) - 10
@@ -82,10 +92,16 @@ class Pieces:
         for p, (i, s) in usual.items():
             self.automaton.add_word(p, (len(p), s, i))
         self.automaton.make_automaton()
-        self.bytes_of = [b"" if kind in (UNKNOWN, CONTROL, UNUSED) else bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(SPACE, " ").encode() for p, _, kind in self.pieces]
+        self.bytes_of = [self.stands_for(p, kind) for p, _, kind in self.pieces]
         self.kept: dict[str, bytes] = {}
         self.words = re.compile(f"{SPACE}| *[^ \n{SPACE}]+| +|\n")
 
+    @staticmethod
+    def stands_for(piece: str, kind: int) -> bytes:
+        if kind == BYTE:
+            return bytes([int(piece[3:5], 16)])
+        return b"" if kind in (UNKNOWN, CONTROL, UNUSED) else piece.replace(SPACE, " ").encode()
+
     def cut(self, word: str) -> list[int]:
         """Ids of the best cut of ``word``, in which spaces are written as U+2581."""
         best, back, use = [0.0, *[-INFINITE] * len(word)], [0] * (len(word) + 1), [-1] * (len(word) + 1)
@@ -200,4 +216,5 @@ def op3_sentencepiece(spark, sf_dir: str, path: str = MODEL) -> DataFrame:
 
     model = read_model(path)
     both = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
-    return both.select("doc_id", "ids", F.size("ids").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+    lossless = (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless")
+    return both.select("doc_id", "ids", F.size("ids").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"), lossless)

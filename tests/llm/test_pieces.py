@@ -1,5 +1,7 @@
+import math
 import random
 
+import pytest
 import sentencepiece
 
 from relspark.llm import pieces
@@ -38,16 +40,16 @@ def best(word):
     return scores[-1]
 
 
-def total(ids):
+def total(ids, coder=CODER):
     """The score of ids; bytes stand for unknown characters."""
     score, held = 0.0, b""
     for i in ids:
-        p, s, kind = CODER.pieces[i]
+        p, _, kind = coder.pieces[i]
         if kind == pieces.BYTE:
             held += bytes([int(p[3:5], 16)])
         else:
-            score += s
-    return score + CODER.unknown * len(held.decode())
+            score += coder.scores[p]
+    return score + coder.unknown * len(held.decode())
 
 
 def test_cut_is_the_best():
@@ -55,19 +57,29 @@ def test_cut_is_the_best():
     for _ in range(300):
         word = "▁" * r.randint(0, 2) + "".join(r.choices("thenatiogçé漢😀\t", k=r.randint(1, 14)))
         ids = CODER.cut(word)
-        assert total(ids) == best(word) and b"".join(CODER.bytes_of[i] for i in ids).decode() == word.replace("▁", " ")
+        assert total(ids) == pytest.approx(best(word)) and b"".join(CODER.bytes_of[i] for i in ids).decode() == word.replace("▁", " ")
 
 
 def test_whole_texts_equal_the_best_cut_of_the_whole():
     for text in ["the cat sat on the mat", " a  b", "one\ntwo three"]:
-        assert total(CODER.encode(text).tolist()) == best("▁" + text.replace(" ", "▁"))
+        assert total(CODER.encode(text).tolist()) == pytest.approx(best("▁" + text.replace(" ", "▁")))
 
 
 def test_scores_equal_the_reference_lattice():
-    reference = sentencepiece.SentencePieceProcessor(model_proto=unigram(MODEL))
+    reference, own = sentencepiece.SentencePieceProcessor(model_proto=unigram(MODEL)), pieces.Pieces(unigram(MODEL))
+    assert own.scores["▁the"] == dict((p, s) for p, s, _ in own.pieces)["▁the"]  # as the file has them
     for text in ["the cat", "tokenization works", "worthless", "an example of words"]:
         ids = reference.nbest_encode_as_ids(text, 5)[0]
-        assert total(ids) == total(CODER.encode(text).tolist())
+        assert total(ids, own) == total(own.encode(text).tolist(), own)
+
+
+def test_ranks_become_probabilities(spark):
+    """Scores of a BPE model are a distribution, in order of rank, and texts take about as many pieces as by merging in order."""
+    assert sum(math.exp(s) for s in CODER.scores.values()) == pytest.approx(1) and CODER.scores["▁t"] > CODER.scores["▁the"] > CODER.scores["梦"]
+    reference = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text]
+    own, merged = (sum(len(encode(t)) for t in texts) for encode in (CODER.encode, reference.encode))
+    assert own <= 1.02 * merged
 
 
 def test_round_trip():
