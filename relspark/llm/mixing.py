@@ -8,7 +8,7 @@ to its target, which helps sources of few documents.
 
 Defined cases: a null text has size 0; null is a source of its own, last in order; a source without words has target 0 and gives
 no copies; documents of equal size stand by id, and rows equal in both are interchangeable; an empty table gives an empty
-result; other columns pass through untouched, and internal names end in an underscore.
+result; other columns pass through untouched, whatever they are called.
 """
 
 from __future__ import annotations
@@ -18,17 +18,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, ranked, sized
+from .common import WORD, cut, partitions, ranked, sized, table, unused
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
 SEED, TRIALS = 17, 16
+#: Copies of one row that a task writes at once, where rows that are equal in all columns share their copies.
+RUN = 1000
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: the words of each document."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def sizes(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, source, size (the words of each document) and ``more`` columns."""
+    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *more)
 
 
 def targets(sized_docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -40,7 +42,8 @@ def targets(sized_docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: fl
     per = cut(sized_docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs_")))
     per = ranked(per, [F.col("source").asc_nulls_last()], ["docs_"], "place_").withColumnRenamed("before_docs_", "first_")
     choose = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place_") % len(weights) + 1).cast("int"))
-    per = cut(per.withColumn("weight_", choose).withColumn("cap_", most * F.col("source_size")).withColumn("bears_", F.col("cap_") / F.col("weight_")))
+    per = per.withColumn("weight_", choose).withColumn("cap_", most * F.col("source_size"))
+    per = cut(per.withColumn("bears_", F.col("cap_") / F.col("weight_")))
     size, weight = per.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight_"), F.lit(0.0))).first()
     steps = ranked(per, [F.col("bears_"), F.col("place_")], ["cap_", "weight_"], "step_")
     level = (F.lit(share * size) - F.col("before_cap_")) / (F.lit(weight) - F.col("before_weight_"))
@@ -55,53 +58,53 @@ def offset(source, seed: int):
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies of every row of ``docs``."""
-    narrow = cut(sizes(docs))
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, more: Sequence[str] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies of every row of ``docs``, and its ``more`` columns (of other names)."""
+    narrow = cut(sizes(docs, *more))
     per = targets(narrow, weights, share, most)
     placed = ranked(narrow, [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id")], rank="rank_")
     per = sized(per.withColumnRenamed("source", "source_"))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    crossed = lambda position, trial: F.floor(position * F.col("each_") + F.col("offset_") + trial / F.lit(float(TRIALS)))
-    taken = lambda trial: crossed(F.col("at_") + 1, trial) - crossed(F.col("at_"), trial)
+    position = lambda at, trial: F.floor(at * F.col("each_") + F.col("offset_") + trial / F.lit(float(TRIALS)))
+    taken = lambda trial: position(F.col("at_") + 1, trial) - position(F.col("at_"), trial)
     placed = cut(
         placed.join(per, placed.source.eqNullSafe(per.source_))
         .withColumn("each_", each)
         .withColumn("offset_", offset(F.col("source"), seed))
         .withColumn("at_", F.col("rank_") - F.col("first_"))
-        .select("doc_id", "source", "size", "source_size", "target", "each_", "offset_", "at_", "first_")
+        .select("doc_id", "source", "size", "source_size", "target", "each_", "offset_", "at_", "first_", *more)
     )
-    sums = placed.groupBy("first_", "target").agg(*[F.sum(F.col("size") * taken(F.lit(k))).alias(f"taken_{k}_") for k in range(TRIALS)])
-    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"taken_{k}_") - F.col("target")).alias("off"), F.lit(k).alias("trial_")) for k in range(TRIALS)]))
-    trials = sized(cut(sums.select("first_", nearest["trial_"].alias("trial_"))))
-    return placed.join(trials, "first_").withColumn("copies", taken(F.col("trial_")).cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies")
+    words = [F.sum(F.col("size") * taken(F.lit(k))).alias(f"taken_{k}_") for k in range(TRIALS)]
+    sums = placed.groupBy("first_", "target").agg(*words)
+    off = [F.struct(F.abs(F.col(f"taken_{k}_") - F.col("target")).alias("off"), F.lit(k).alias("trial_")) for k in range(TRIALS)]
+    trials = sized(cut(sums.select("first_", F.array_min(F.array(*off))["trial_"].alias("trial_"))))
+    copies = placed.join(trials, "first_").withColumn("copies", taken(F.col("trial_")).cast("long"))
+    return copies.select("doc_id", "source", "size", "source_size", "target", "copies", *more)
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with every row repeated as often as the mix takes it (0, 1, … times)."""
+    """``docs`` with every row repeated as often as the mix takes it (0, 1, … times). Words are counted once; a row is known by two
+    hashes of all its columns. Rows that are equal in all of them share their copies: what doesn't divide evenly comes from one of them."""
     own = docs.columns
-    copies = mix(docs, **how).filter("copies > 0")
-    copies = cut(copies.groupBy(F.col("doc_id").alias("id_"), F.col("source").alias("of_"), F.col("size").alias("words_")).agg(F.sum("copies").alias("copies_"), F.count(F.lit(1)).alias("rows_")))
-    counted = docs.withColumn("size_", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)))
-    same = counted.doc_id.eqNullSafe(copies.id_) & counted.source.eqNullSafe(copies.of_) & (counted.size_ == copies.words_)
-    # Rows that repeat an id and size share their copies; the first ones, by a hash of the row, take one more.
-    joined = counted.join(sized(copies), same)
-    once = joined.filter("rows_ = 1").withColumn("take_", F.col("copies_"))
-    return once.unionByName(shared(joined.filter("rows_ > 1"))).select(*own, F.explode(F.sequence(F.lit(1), F.col("take_").cast("int"))).alias("copy_")).drop("copy_")
-
-
-def shared(rows: DataFrame) -> DataFrame:
-    """``rows`` with take_: the copies of rows that repeat an id and size, dealt out evenly among them."""
-    from pyspark.sql.window import Window
-
-    place = F.row_number().over(Window.partitionBy("id_", "of_", "words_").orderBy(F.xxhash64("text"))) - 1
-    take = F.floor(F.col("copies_") / F.col("rows_")) + F.when(place < F.col("copies_") % F.col("rows_"), 1).otherwise(0)
-    return rows.withColumn("take_", take).filter("take_ > 0")
+    a, b, a_of, b_of, of, n, k = unused([*own, "size", "source_size", "target", "copies"], "a", "b", "a_of", "b_of", "of", "n", "k")
+    known = docs.withColumns({a: F.xxhash64(*own), b: F.xxhash64(F.lit(1), *own)})
+    counts = mix(known, more=(a, b), **how).groupBy(F.col(a).alias(a_of), F.col(b).alias(b_of))
+    counts = cut(counts.agg(F.sum("copies").alias(of), F.count(F.lit(1)).alias(n)).filter(F.col(of) > 0))
+    same = (F.col(a) == F.col(a_of)) & (F.col(b) == F.col(b_of))
+    each = F.floor(F.col(of) / F.col(n)).cast("int")
+    evenly = known.join(sized(counts), same).filter(each > 0)
+    evenly = evenly.select(*own, F.explode(F.sequence(F.lit(1), each)).alias(k)).select(*own)
+    rest = cut(counts.select(a_of, b_of, (F.col(of) % F.col(n)).cast("int").alias(n)).filter(F.col(n) > 0))
+    if rest.isEmpty():
+        return evenly
+    # Rows that repeat: one of each, its copies in runs that are spread over all tasks.
+    one = known.join(sized(rest), same).dropDuplicates([a, b])
+    runs = one.withColumn(k, F.explode(F.sequence(F.lit(0), F.col(n) - 1, F.lit(RUN)))).repartition(partitions(docs.sparkSession))
+    until = F.least(F.col(k) + RUN, F.col(n)) - 1
+    return evenly.union(runs.select(*own, F.explode(F.sequence(F.col(k), until)).alias(k)).select(*own))
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     taken = mix(table(spark, sf_dir, "documents"))
     return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 

@@ -60,3 +60,26 @@ def test_rows_of_the_mix(docs):
 
 def test_empty(none):
     assert mixing.mix(none).count() == 0 and mixing.mixed(none).count() == 0
+
+
+def test_any_column_names_and_repeated_rows(spark):
+    """Columns called like what the operator makes; 3000 rows that are equal in everything among others."""
+    schema = "doc_id long, text string, source string, size_ int, rows_ int, id_ int, copies int, target int, a int, n int, take_ int, words_ int"
+    rest = (1, 2, 3, 4, 5, 6, 7, 8, 9)
+    rows = [(7, "w w w", "hot", *rest)] * 3000 + [(k, "w " * (k % 9 + 1), f"s{k % 2}", *rest) for k in range(500)] + [(7, "w w w", "hot", *rest[:-1], 0), (None, None, None, *rest)]
+    df = spark.createDataFrame(rows, schema).repartition(5)
+    out = mixing.mixed(df)
+    assert out.columns == df.columns
+    got = Counter(tuple(r) for r in out.collect())
+    want = Counter()
+    for r in mixing.mix(df).collect():
+        want[r.doc_id, r.source, r["size"]] += r.copies
+    assert Counter({}) + sum((Counter({(k[0], k[2], size(k[1])): n}) for k, n in got.items()), Counter()) == +want
+    assert set(got) <= set(rows) and all(n <= 2 * rows.count(k) for k, n in got.items())
+
+
+def test_words_near_the_target_on_the_documents(spark):
+    """The worst source of the next scale is off by less than its largest document."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    by = mixing.mix(docs).selectExpr("source", "target", "size", "copies * size AS taken").groupBy("source", "target").agg({"taken": "sum", "size": "max"}).collect()
+    assert all(abs(r["sum(taken)"] - r.target) <= r["max(size)"] for r in by)
