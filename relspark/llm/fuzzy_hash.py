@@ -2,11 +2,12 @@
 
 A rolling hash of the last 7 UTF-8 bytes ends a piece wherever it is -1 modulo the block size; each piece's hash gives one of 64
 characters. The fingerprint holds the block size (3 x 2^k, so that there are about 32 to 64 pieces) and the signatures for it and for twice
-it; the 64th character stands for the rest of the text. Two fingerprints are compared, where their block sizes are compatible (equal, or one twice the
-other), by the edit distance of the signatures (insertion and deletion cost 1, substitution 2); without a common run of 7 characters (in signatures of under 28, a quarter of the shorter one) they are unlike.
+it; the 64th character stands for the rest of the text. Two fingerprints are compared, where their block sizes are compatible (equal, or one
+twice the other), by the edit distance of the signatures (insertion and deletion cost 1, substitution 2); without a common run of 7
+characters (in signatures of under 28, a quarter of the shorter one) they are unlike.
 
 Each document also meets its next one, in descending doc_id. Rows are dealt and sorted by range once; in a range the next row follows. Only the
-last row of each range waits: these rows (one per range) then meet the first rows of the ranges after them.
+last row of each range waits: the ranges' numbers tell which range comes next, and these rows (one per range) join its first text.
 
 Defined cases: null is the empty text, whose fingerprint is ``3::``; equal texts have equal fingerprints and likeness 1; a lone document is its own next; rows
 that repeat a doc_id stand by a hash of the text, null ids last; an empty table gives an empty result; columns other than doc_id and text are not read."""
@@ -111,14 +112,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return in_small_batches(docs).select("doc_id", made("text").alias("fingerprint"))
 
 
-COLUMNS = {"doc_id": "long", "n_chars": "long", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string", "near_edited": "double", "near_next": "double"}
+COLUMNS = {
+    "doc_id": "long", "n_chars": "long", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string",
+    "near_edited": "double", "near_next": "double",
+}
 
 
 def compared(doc_id, text: str, own: str, after: str, next_own: str) -> tuple:
     half = len(text) // 2
     edited = text[: len(text) - half] + after[:half]
     of_edited = own if edited == text else fingerprint(edited)
-    return doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own, of_edited, likeness(own, of_edited), likeness(own, next_own)
+    sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
+    return doc_id, len(text), sha, own, of_edited, likeness(own, of_edited), likeness(own, next_own)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -145,16 +150,20 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [compared(d, t, fingerprint(t), h, fingerprint(h)) for d, t, h in zip(pdf["doc_id"].astype("Int64"), pdf["text"], pdf["head"], strict=True)]
+            each = zip(pdf["doc_id"].astype("Int64"), pdf["text"], pdf["head"], strict=True)
+            rows = [compared(d, t, fingerprint(t), h, fingerprint(h)) for d, t, h in each]
             yield pd.DataFrame(rows, columns=list(COLUMNS)).astype({"doc_id": "Int64"})
 
     schema = ", ".join(f"{c} {kind}" for c, kind in COLUMNS.items())
     met = cut(in_small_batches(dealt).mapInPandas(inside, f"{schema}, range_ long, text string, head string"))
-    # One row per range: at most spark.sql.shuffle.partitions.
+    waiting = met.filter("range_ IS NOT NULL")
+    # Numbers only, one per range: at most spark.sql.shuffle.partitions. After the last range comes the first.
     ranges = Window.orderBy("range_")
-    first = F.first("head").over(ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    waiting = met.filter("range_ IS NOT NULL").select("doc_id", "text", F.coalesce(F.lead("head").over(ranges), first).alias("head"))
-    return met.filter("range_ IS NULL").select(*COLUMNS).union(waiting.mapInPandas(across, schema))
+    first = F.first("range_").over(ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    order = waiting.select("range_", F.coalesce(F.lead("range_").over(ranges), first).alias("next_"))
+    heads = waiting.select(F.col("range_").alias("next_"), "head")
+    last = waiting.select("range_", "doc_id", "text").join(order, "range_").join(heads, "next_").select("doc_id", "text", "head")
+    return met.filter("range_ IS NULL").select(*COLUMNS).union(in_small_batches(last).mapInPandas(across, schema))
 
 
 def op7_fuzzy_hash(spark, sf_dir: str) -> DataFrame:
