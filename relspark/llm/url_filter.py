@@ -1,14 +1,14 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
-A rule is a host with a path (fits the host and its subdomains where the path begins so) or a pattern (``||`` before a host part, ``*`` for anything, ``^``
-for a separator or the end, ``@@`` for an exception). Each becomes a regular expression over host and path, and is filed under
+A rule is a host with a path (fits the host and its subdomains where the path begins so) or a pattern (``||`` before a host part, ``*`` for
+anything, ``^`` for a separator or the end, ``@@`` for an exception). Each becomes a regular expression over host and path, and is filed under
 that of its literal tokens (runs of letters and digits that the expression needs as a whole) which is rarest among the URLs'. The distinct URLs'
 tokens fetch their candidate rules by an equi-join, and only those are run.
 
 Of the fitting host rules the longest decides; else the patterns: an exception allows, a match blocks, otherwise the URL is allowed.
 
-Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed; repeated URLs are judged once; a null page_id is kept;
-rules without a literal token are tried on every URL; an empty table gives an empty result; other columns are not read."""
+Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed; repeated URLs are judged once;
+a null page_id is kept; rules without a literal token are tried on every URL; an empty table gives an empty result; other columns are not read."""
 
 from __future__ import annotations
 
@@ -29,20 +29,23 @@ SEPARATOR = r"(?:[^A-Za-z0-9_.%-]|$)"
 
 def host_rule(host: str, path: str, verdict: str) -> tuple:
     """(rule, kind, verdict, expression, literal tokens)"""
-    return f"{host}{path}", "host", verdict, rf"^(?:[^/]*\.)?{re.escape(host)}{re.escape(path)}", literal(f".{host}{path}", True)
+    expression = rf"^(?:[^/]*\.)?{re.escape(host)}{re.escape(path)}"
+    return f"{host}{path}", "host", verdict, expression, literal(f".{host}{path}", True)
 
 
 def pattern_rule(pattern: str) -> tuple:
     verdict, rest = ("allow", pattern[2:]) if pattern.startswith("@@") else ("block", pattern)
     anchored, rest = rest.startswith("||"), rest.removeprefix("||")
     body = "".join({"*": ".*", "^": SEPARATOR}.get(c, re.escape(c)) for c in rest)
-    return pattern, "pattern", verdict, rf"^(?:[^/]*\.)?{body}" if anchored else body, literal(("." if anchored else "*") + rest)
+    expression = rf"^(?:[^/]*\.)?{body}" if anchored else body
+    return pattern, "pattern", verdict, expression, literal(("." if anchored else "*") + rest)
 
 
 def literal(pattern: str, whole_end: bool = False) -> list[str]:
     """The tokens that stand whole in every URL that fits: with a literal that isn't a letter or digit, or a separator, on both sides."""
     ended = pattern if whole_end and not pattern[-1].isalnum() else f"{pattern}*"
-    return [m[0] for m in re.finditer(TOKEN, pattern) if pattern[m.start() - 1 : m.start()] not in ("", "*") and ended[m.end() : m.end() + 1] not in ("", "*")]
+    bounded = lambda m: pattern[m.start() - 1 : m.start()] not in ("", "*") and ended[m.end() : m.end() + 1] not in ("", "*")
+    return [m[0] for m in re.finditer(TOKEN, pattern) if bounded(m)]
 
 
 def split(pages: DataFrame) -> DataFrame:
@@ -54,34 +57,40 @@ def split(pages: DataFrame) -> DataFrame:
 
 
 def index(tokens: DataFrame, rules: Sequence[tuple]) -> DataFrame:
-    """token, rule, kind, verdict, expression: each rule under its rarest token, or under "" if it has none. ``tokens`` holds a row for each distinct token of each URL."""
+    """token, rule, kind, verdict, expression: each rule under its rarest token, or under "" if it has none. ``tokens`` holds a row for each
+    distinct token of each URL."""
     spark = tokens.sparkSession
     wanted = spark.createDataFrame([(t,) for t in sorted({t for r in rules for t in r[4]})] or [("",)], "token string")
     often = tokens.join(sized(wanted), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     schema = "rule string, kind string, verdict string, expression string, tokens array<string>"
-    exploded = spark.createDataFrame([tuple(r) for r in rules], schema).withColumn("token", F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))))
+    own = F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))
+    exploded = spark.createDataFrame([tuple(r) for r in rules], schema).withColumn("token", F.explode(own))
     weighed = exploded.join(often, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return weighed.groupBy("rule", "kind", "verdict", "expression").agg(F.min(F.struct("n", "token")).alias("rarest")).select("rarest.token", "rule", "kind", "verdict", "expression")
+    rarest = weighed.groupBy("rule", "kind", "verdict", "expression").agg(F.min(F.struct("n", "token")).alias("rarest"))
+    return rarest.select("rarest.token", "rule", "kind", "verdict", "expression")
 
 
 def judged(pages: DataFrame, host_rules: Sequence[tuple] = HOST_RULES, patterns: Sequence[str] = PATTERNS) -> DataFrame:
     """page_id, host, path, rule, verdict of every page."""
     rules = [*(host_rule(*r) for r in host_rules), *map(pattern_rule, patterns)]
-    parts = split(pages)
-    urls = cut(parts.select(F.concat("host", "path").alias("subject")).distinct())
+    subject = F.concat("host", "path")
+    # Verdicts come back by two hashes of the URL, not by the URL.
+    parts = split(pages).withColumns({"a": F.xxhash64(subject), "b": F.xxhash64(F.lit(1), subject)})
+    urls = cut(parts.select("a", "b", subject.alias("subject")).distinct())
     found = F.array_union(F.array_distinct(F.regexp_extract_all("subject", F.lit(TOKEN), 0)), F.array(F.lit("")))
-    tokens = cut(urls.select("subject", F.explode(found).alias("token")))
-    candidates = tokens.join(sized(cut(index(tokens, rules))), "token")  # as many rows as rules, if few
-    fitting = candidates.filter(F.regexp_like("subject", F.col("expression")))
+    tokens = urls.select("a", "b", "subject", F.explode(found).alias("token"))
+    by_token = sized(cut(index(tokens, rules)))  # as many rows as rules
+    fitting = tokens.join(by_token, "token").filter(F.regexp_like("subject", F.col("expression")))
     of = lambda kind: F.col("kind") == kind
-    verdicts = fitting.groupBy("subject").agg(
+    verdicts = fitting.groupBy(F.col("a").alias("of_a"), F.col("b").alias("of_b")).agg(
         F.max(F.when(of("host"), F.struct(F.length("rule").alias("n"), "rule", "verdict"))).alias("longest"),
         F.max(of("pattern") & (F.col("verdict") == "block")).alias("blocked"),
         F.max(of("pattern") & (F.col("verdict") == "allow")).alias("excepted"),
     )
     by_pattern = F.when(F.coalesce("blocked", F.lit(False)) & ~F.coalesce("excepted", F.lit(False)), "block").otherwise("allow")
-    verdicts = sized(cut(verdicts.select(F.col("subject").alias("of_"), F.col("longest.rule").alias("rule"), F.coalesce("longest.verdict", by_pattern).alias("verdict"))))
-    joined = parts.join(verdicts, F.concat("host", "path") == F.col("of_"), "left")
+    verdict = F.coalesce("longest.verdict", by_pattern).alias("verdict")
+    verdicts = sized(cut(verdicts.select("of_a", "of_b", F.col("longest.rule").alias("rule"), verdict)))
+    joined = parts.join(verdicts, (F.col("a") == F.col("of_a")) & (F.col("b") == F.col("of_b")), "left")
     return joined.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
 
 
