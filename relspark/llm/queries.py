@@ -20,4 +20,5 @@ ORACLE_SQL = {
     "op1_mixing": mixing.SQL,
     "op6_chat": chat.SQL,
     "op8_url_filter": url_filter.SQL,
+    "op9_hilbert": hilbert.SQL,
 }

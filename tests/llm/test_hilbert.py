@@ -1,8 +1,10 @@
 import zlib
 
+import duckdb
 from pyspark.sql import functions as F
 
 from relspark.llm import hilbert
+from tests.test_entry import same
 
 
 def test_curve_visits_every_cell_by_steps_of_one(spark):
@@ -43,3 +45,29 @@ def test_shards_are_narrow_in_every_dimension(spark):
 def test_written(docs, rows, tmp_path, spark):
     hilbert.written(docs, str(tmp_path / "out"), 4)
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows) and len(list((tmp_path / "out").glob("shard=*"))) == 4
+
+
+def test_files_can_be_skipped_in_every_dimension(spark, tmp_path):
+    df = spark.range(8192).selectExpr("id AS doc_id", "repeat('x', cast(pow(2, id % 16) AS int)) AS text", "concat('s', lpad(cast(id div 16 % 16 AS string), 2, '0')) AS source", "concat('l', lpad(cast(id div 512 AS string), 2, '0')) AS lang")
+    path = str(tmp_path / "out")
+    hilbert.written(df, path, 8, file_rows=100)
+    files = spark.read.parquet(path).groupBy("_metadata.file_path").agg(*[f(c).alias(f"{n}_{c}") for c in ("source", "lang", "n_chars") for n, f in (("low", F.min), ("high", F.max))], F.count("*").alias("n")).collect()
+    assert sum(f.n for f in files) == 8192 and max(f.n for f in files) <= 100
+    for c, value in (("source", "s07"), ("lang", "l03"), ("n_chars", 256)):
+        read = [f for f in files if f[f"low_{c}"] <= value <= f[f"high_{c}"]]
+        assert len(read) < 0.45 * len(files), c
+
+
+def test_query_against_sql(spark, sf):
+    same(spark, sf, "op9", hilbert.op9_hilbert, hilbert.SQL)
+
+
+def test_sql_on_odd_rows(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(hilbert.SQL).df()
+    got = hilbert.op9_hilbert(spark, str(tmp_path)).toPandas()
+    columns = ["doc_id", "size", "text_crc32", "shard", "slot", "curve"]
+    rows = lambda df: sorted(map(str, df[columns].astype("Int64").itertuples(index=False)))
+    assert rows(got) == rows(want)
