@@ -124,6 +124,7 @@ t AS (SELECT source, source_size, least(cap, (SELECT level FROM v) * weight) AS
 p AS (SELECT doc_id, d.source, size, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS e,
       row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id) - 1 AS pos FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 k AS (SELECT p.*, k, (floor((pos + 1) * e + u + k / 16.0::DOUBLE) - floor(pos * e + u + k / 16.0::DOUBLE))::BIGINT AS copies FROM p, range(16) r(k)),
-n AS (SELECT source, arg_min(k, (off, k)) AS nearest FROM (SELECT source, k, abs(sum(size * copies) - any_value(target)) AS off FROM k GROUP BY source, k) GROUP BY source)
+n AS (SELECT source, arg_min(k, (off, k)) AS nearest
+  FROM (SELECT source, k, abs(sum(size * copies) - any_value(target)) AS off FROM k GROUP BY source, k) GROUP BY source)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM k JOIN n ON k.source IS NOT DISTINCT FROM n.source AND k.k = nearest
 """

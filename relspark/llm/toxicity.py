@@ -12,8 +12,8 @@ Only the models are fitted on a bounded sample: the ``SAMPLE`` labelled rows wit
 scored over its whole text.
 
 Defined cases: a null, empty or wordless text has no word counts and is scored by its shape; a null label counts as 0; of rows that repeat a
-labelled doc_id the largest label counts; without labelled rows of both kinds a label's probability is the share of its ones; a null doc_id is scored too; equal texts get equal scores;
-an empty table gives an empty result; other columns are not read."""
+labelled doc_id the largest label counts; without labelled rows of both kinds a label's probability is the share of its ones; a null
+doc_id is scored too; equal texts get equal scores; an empty table gives an empty result; other columns are not read."""
 
 from __future__ import annotations
 

@@ -99,10 +99,13 @@ def op8_url_filter(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
-f AS (SELECT *, (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/') AS r1, (host = 'example.net' OR suffix(host, '.example.net')) AND prefix(path, '/en/') AS r2,
-  (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/de/') AS r3, (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/fr/') AS r4, host || path AS s FROM p)
+f AS (SELECT *, (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/') AS r1,
+  (host = 'example.net' OR suffix(host, '.example.net')) AND prefix(path, '/en/') AS r2,
+  (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/de/') AS r3,
+  (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/fr/') AS r4, host || path AS s FROM p)
 SELECT page_id, host, path, CASE WHEN r2 THEN 'example.net/en/' WHEN r3 THEN 'example.com/de/' WHEN r4 THEN 'org/fr/' WHEN r1 THEN 'net/' END AS rule,
   CASE WHEN r2 THEN 'allow' WHEN r3 THEN 'block' WHEN r4 THEN 'allow' WHEN r1 THEN 'block'
        WHEN regexp_matches(s, '^([^/]*\.)?help\.adult-x\.') THEN 'allow'
