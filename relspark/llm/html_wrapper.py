@@ -16,8 +16,8 @@ wrappers as there are partitions, never its pages. What they say decides each pa
 - Pages of a host with the same landmarks (article, main, content parts) share their main region: the article part, else the main part,
   else the content part, the first that holds at least ``SHARE`` of what these pages have in slots, else the whole page. Where articles lie
   inside the main part, that part comes first, so that what stands before and behind an article is kept.
-- Menus, adverts, comments and so on go, by their element or by words in class, id and role. Outside of landmarks one word of a compound
-  (``top-nav``) is enough; inside them the whole token has to say it (``comment-list`` goes, ``related-work`` stays).
+- Menus, adverts, comments and so on go, by their element or by words in class, id and role. Outside of article and main parts one word of
+  a compound (``top-nav``) is enough; inside them the whole token has to say it (``comment-list`` goes, ``related-work`` stays).
 
 Defined cases: null or empty html gives an empty text; a null url, or one without host, shares one wrapper with all others such; pages
 that are alone on their host, or copies of one page, are one page, so nothing counts as template; broken markup is read as browsers do in
@@ -97,8 +97,8 @@ PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 @dataclass(frozen=True, slots=True)
 class Kind:
-    """What an element's tag says: its name and words, whether it is left out outside and inside of landmarks and is never a frame, and
-    its landmark."""
+    """What an element's tag says: its name and words, whether it is left out outside and inside of article and main parts and is never a
+    frame, and its landmark."""
 
     key: str
     name: str
@@ -130,6 +130,7 @@ def read_kind(name: str, attributes: str) -> Kind:
     frame = name in ("html", "body", "main")
     parts = {name, *words}
     landmark = ARTICLE if name == "article" else next((bit for bit, names in LANDMARKS if not names.isdisjoint(parts)), 0)
+    landmark = 0 if name in ("html", "body") else landmark
     outside = name in EXCLUDED or (not frame and not WORDS.isdisjoint(words))
     inside = (name in EXCLUDED and name != "header") or (not frame and says(WORDS - {"header"}))
     return Kind(".".join([name, *words]), name, outside, inside, says(STRICT), landmark)
@@ -208,19 +209,23 @@ class Page:
 
     def _judge(self) -> None:
         """Which elements are left out, and the landmarks and the place of the others. A form, or an element named by words of
-        ``WORDS``, that holds the page's article or main part is only its frame."""
+        ``WORDS``, that holds the page's article or main part is only its frame; so is one that holds a content part, if those words are
+        but parts of its tokens (``with-sidebar``)."""
         n = len(self.kinds)
-        holds = [False] * n
+        holds = [0] * n
         for k in range(n - 1, 0, -1):
             kind = self.kinds[k]
-            if (kind.name not in EXCLUDED or kind.name == "form") and not kind.strict and (holds[k] or kind.name in ("article", "main")):
-                holds[self.parents[k]] = True
+            if (kind.name not in EXCLUDED or kind.name == "form") and not kind.strict:
+                own = MAIN if kind.name in ("article", "main") else kind.landmark & CONTENT
+                holds[self.parents[k]] |= holds[k] | own
         self.left_out, self.marks, self.places = [False] * n, [0] * n, [""] * n
         for k in range(1, n):
             kind, above = self.kinds[k], self.parents[k]
             marks = self.marks[above]
-            never_frame = (kind.name in EXCLUDED and kind.name != "form") or kind.strict or not holds[k]
-            self.left_out[k] = self.left_out[above] or (kind.inside if marks else kind.outside and never_frame)
+            frame = holds[k] & MAIN or (holds[k] & CONTENT and not kind.inside)
+            never_frame = (kind.name in EXCLUDED and kind.name != "form") or kind.strict or not frame
+            by_token = marks & (ARTICLE | MAIN) or (marks and kind.name == "header")
+            self.left_out[k] = self.left_out[above] or (kind.inside if by_token else kind.outside and never_frame)
             if not self.left_out[k]:
                 within = WITHIN if kind.landmark == ARTICLE and marks & MAIN else 0
                 self.marks[k] = marks | kind.landmark | within

@@ -113,6 +113,13 @@ def test_whole_tokens_decide_inside_of_landmarks():
     assert h.extract("<div class='article-header'>no</div><article><div class='article-header'><h1>T</h1></div><p>x</p></article>", {}) == "T x"
 
 
+def test_words_of_content_parts_and_bodies():
+    page = """<body class="single-post page-content"><div class="site-header">Site</div><div class="footer-widgets">w</div><div class="layout with-sidebar">
+<div class="post"><header><h1>T</h1></header><p>x</p><div class="related-topics">r</div></div></div><div class="footer">f</div></body>"""
+    assert h.extract(page, {}) == "T x" and h.extract(page.replace("layout with-sidebar", "sidebar"), {}) == ""
+    assert h.extract(page.replace('<div class="post">', '<article>').replace("r</div></div>", "r</div></article>"), {}) == "T x r"
+
+
 def test_any_depth():
     for n in (100, 130, 3000):
         deep = "<article>" + "<div>" * n + "in <nav>MENU</nav><div class=comments>reader comment</div><p>Body</p>" + "</div>" * n + "</article>"
