@@ -5,7 +5,7 @@ the turns behind it are the two completions. The result has a row for each rende
 part (prompt, chosen or rejected), its place, the rendered text, and the span of it (in code points) that a loss covers: the words and the end
 mark of assistant turns in a completion. Everything else is masked: loss_from and loss_to are null.
 
-Texts are read twice but move once. Turns are numbered, compared and parted as narrow rows (pair, turn, role and a SHA-256 of the text):
+Texts are read twice but move once. Turns are numbered, compared and parted as narrow rows (pair, turn, role and half a SHA-256 of the text):
 one global sort gives the places, the prefix ends at the least place where the sides differ, both by joins and aggregations with
 map-side combine on (pair, place). The texts then join the rows that are to be rendered. Turns that are equal in everything, which
 that join can't tell apart, are reduced to one text first. Built-in functions only.
@@ -29,8 +29,8 @@ KEY = ("pair_id", "turn", "role", "text_hash")
 
 
 def hashed(turns: DataFrame) -> DataFrame:
-    """pair_id, turn, role, text_hash, text. The hash of a null text is the empty one."""
-    text_hash = F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b"")).alias("text_hash")
+    """pair_id, turn, role, text_hash (128 bits), text. The hash of a null text is the empty one."""
+    text_hash = F.coalesce(F.substring(F.unhex(F.sha2("text", 256)), 1, 16), F.lit(b"")).alias("text_hash")
     return turns.select("pair_id", "turn", "role", text_hash, "text")
 
 
@@ -140,8 +140,8 @@ def op6_chat(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH a AS (SELECT conv_id AS pair_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) - 1 AS place
-  FROM conversations),
+WITH a AS (SELECT conv_id AS pair_id, role, text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) - 1 AS place FROM conversations),
 s AS (SELECT pair_id, max({'place': place, 'text': text}) AS last FROM a WHERE role = 'assistant' GROUP BY pair_id),
 n AS (SELECT pair_id, last.place AS until, coalesce(lead(last.text) OVER w, first_value(last.text) OVER w) AS reply FROM s
   WINDOW w AS (ORDER BY pair_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
@@ -150,7 +150,8 @@ b AS (SELECT a.pair_id, role, text, place FROM a LEFT JOIN n ON n.pair_id IS NOT
 d AS (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, min(coalesce(a.place, b.place)) AS split
   FROM a FULL JOIN b ON a.pair_id IS NOT DISTINCT FROM b.pair_id AND a.place = b.place
   WHERE a.place IS NULL OR b.place IS NULL OR a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text GROUP BY 1),
-t AS (SELECT a.*, CASE WHEN split IS NULL OR place < split THEN 'prompt' ELSE 'chosen' END AS part FROM a LEFT JOIN d ON d.pair_id IS NOT DISTINCT FROM a.pair_id
+t AS (SELECT a.*, CASE WHEN split IS NULL OR place < split THEN 'prompt' ELSE 'chosen' END AS part
+  FROM a LEFT JOIN d ON d.pair_id IS NOT DISTINCT FROM a.pair_id
   UNION ALL SELECT b.pair_id, role, text, place, 'rejected' FROM b JOIN d ON d.pair_id IS NOT DISTINCT FROM b.pair_id WHERE place >= split)
 SELECT pair_id, part, place, role, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS rendered,
   CASE WHEN part != 'prompt' AND role = 'assistant' THEN length('<|' || role || '|>') + 1 END AS loss_from,
