@@ -15,8 +15,10 @@ def docs(spark):
     """Nulls in every column, empty and long texts, ties, repeated rows, and extra columns (size, rank) with names that operators use."""
     long = words(30000, 1)
     rows = [
-        (1, "one two three", "en", "a", 13, 0, 1), (2, None, None, None, None, None, None), (3, "", "en", "b", 0, 1, 1), (4, long, "de", "a", len(long), 2, 2), (5, " \t\n", "fr", None, 3, 3, 3),
-        (6, "one two three", "en", "a", 13, 0, 1), (6, "one two three", "en", "a", 13, 0, 1), (7, "one two three", None, "c", 13, 0, 1), (None, "ünïcödé ▁ text 漢字 😀 of six words", "fr", "c", 30, 0, 0), (8, "x" * 5000, "en", "é", 5000, 0, 0),
+        (1, "one two three", "en", "a", 13, 0, 1), (2, None, None, None, None, None, None), (3, "", "en", "b", 0, 1, 1),
+        (4, long, "de", "a", len(long), 2, 2), (5, " \t\n", "fr", None, 3, 3, 3), (6, "one two three", "en", "a", 13, 0, 1),
+        (6, "one two three", "en", "a", 13, 0, 1), (7, "one two three", None, "c", 13, 0, 1),
+        (None, "ünïcödé ▁ text 漢字 😀 of six words", "fr", "c", 30, 0, 0), (8, "x" * 5000, "en", "é", 5000, 0, 0),
         *[(100 + k, words(40 + k, k), "en", "a" if k % 3 else "b", 100, k, k) for k in range(20)],
     ]
     return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()

@@ -10,10 +10,14 @@ def test_query(spark, sf):
     same(spark, sf, "op6", chat.op6_chat, chat.SQL)
 
 
+def sort_key(r):
+    return (r[0] is None, r[0] or 0, r[1] is None, r[1] or 0, r[2] is not None, r[2] or "", r[3] is not None, r[3] or "")
+
+
 def brute(chosen, rejected):
     sides = [defaultdict(list), defaultdict(list)]
     for side, rows in zip(sides, (chosen, rejected), strict=True):
-        for pair, turn, role, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or 0, r[2] is not None, r[2] or "", r[3] is not None, r[3] or "")):
+        for pair, _, role, text in sorted(rows, key=sort_key):
             side[pair].append((role, text))
     out = []
     for pair in {*sides[0], *sides[1]}:
@@ -25,13 +29,17 @@ def brute(chosen, rejected):
             for place, (role, text) in turns:
                 head = f"<|{role or ''}|>\n"
                 learnt = part != "prompt" and role == "assistant"
-                out.append((pair, part, place, role, f"{head}{text or ''}<|end|>\n", len(head) if learnt else None, len(head) + len(text or "") + 7 if learnt else None))
+                span = (len(head), len(head) + len(text or "") + 7) if learnt else (None, None)
+                out.append((pair, part, place, role, f"{head}{text or ''}<|end|>\n", *span))
     return sorted(out, key=str)
 
 
 def test_pairs(spark):
-    a = [(1, 0, "user", "q"), (1, 1, "assistant", "good é"), (2, 0, "user", "same"), (2, 1, "assistant", "same"), (3, 0, "user", "x"), (None, 0, None, "n"), (None, 1, "assistant", None), (4, 5, "user", "only here"), (6, 0, "user", "u"), (6, 0, "user", "u"), (6, 1, "assistant", "a")]
-    b = [(1, 0, "user", "q"), (1, 1, "assistant", "bad"), (2, 0, "user", "same"), (2, 1, "assistant", "same"), (3, 0, "user", "y"), (3, 1, "assistant", "z"), (None, 0, None, "n"), (None, 1, "assistant", ""), (5, 0, "assistant", "only there"), (6, 0, "user", "u"), (6, 1, "assistant", "a")]
+    shared = [(2, 0, "user", "same"), (2, 1, "assistant", "same"), (None, 0, None, "n"), (6, 0, "user", "u"), (6, 1, "assistant", "a")]
+    a = [(1, 0, "user", "q"), (1, 1, "assistant", "good é"), (3, 0, "user", "x"), (None, 1, "assistant", None)]
+    a += [*shared, (4, 5, "user", "only here"), (6, 0, "user", "u")]
+    b = [(1, 0, "user", "q"), (1, 1, "assistant", "bad"), (3, 0, "user", "y"), (3, 1, "assistant", "z"), (None, 1, "assistant", "")]
+    b += [*shared, (5, 0, "assistant", "only there")]
     frame = lambda rows: spark.createDataFrame([(*r, 1, "p") for r in rows], SCHEMA)
     out = sorted((tuple(r) for r in chat.preference(frame(a), frame(b)).collect()), key=str)
     assert out == brute(a, b)
@@ -47,10 +55,6 @@ def test_loss_covers_the_reply(spark):
     assert sum(r.part == "prompt" for r in rows) == 3
 
 
-def sort_key(r):
-    return (r[0] is None, r[0] or 0, r[1] is None, r[1] or 0, r[2] is not None, r[2] or "", r[3] is not None, r[3] or "")
-
-
 def brute_replies(turns):
     """Chosen and rejected turns, numbered anew, from plain lists."""
     talks = defaultdict(list)
@@ -67,9 +71,11 @@ def brute_replies(turns):
 
 def test_next_replies_with_nulls_ties_and_repeated_rows(spark):
     turns = [
-        (1, 0, "user", "q"), (1, None, "assistant", "no number"), (1, 1, "user", "more"), (2, None, "user", "x"), (2, None, "assistant", "y"), (2, None, "user", "z"),
+        (1, 0, "user", "q"), (1, None, "assistant", "no number"), (1, 1, "user", "more"),
+        (2, None, "user", "x"), (2, None, "assistant", "y"), (2, None, "user", "z"),
         (3, 0, "user", "a"), (3, 0, "user", "b"), (3, 0, "user", "a"), (3, 1, "assistant", "c"), (3, 1, "assistant", "b"), (3, 1, "user", "w"),
-        (None, 0, "user", "n"), (None, 1, "assistant", None), (None, 1, "assistant", None), (4, 0, None, "only"), (5, 0, "assistant", "y"), (6, 2, "assistant", "y"), (6, 3, "user", "bye"),
+        (None, 0, "user", "n"), (None, 1, "assistant", None), (None, 1, "assistant", None), (4, 0, None, "only"),
+        (5, 0, "assistant", "y"), (6, 2, "assistant", "y"), (6, 3, "user", "bye"),
         *[(7, 1, "user", "same")] * 50, (7, 2, "assistant", "end"), (8, 1, "assistant", ""),
     ]
     df = spark.createDataFrame([(*t, 1) for t in turns], "pair_id long, turn long, role string, text string, place int")
@@ -77,8 +83,9 @@ def test_next_replies_with_nulls_ties_and_repeated_rows(spark):
 
 
 def test_sides_with_nulls_ties_and_repeated_rows(spark):
-    a = [(1, None, "user", "q"), (1, 0, "user", "p"), (1, 0, "user", "p"), (1, 0, "user", None), (2, 0, "user", "x"), (2, 0, "user", "x"), (2, 0, "user", "x"), (3, None, "assistant", "r")]
-    b = [(1, None, "user", "q"), (1, 0, "user", "p"), (1, 0, "user", "p"), (1, 0, "user", ""), (2, 5, "user", "x"), (2, 6, "user", "x"), (3, None, "assistant", "r"), (3, None, "assistant", "r")]
+    both = [(1, None, "user", "q"), (1, 0, "user", "p"), (1, 0, "user", "p"), (3, None, "assistant", "r")]
+    a = [*both, (1, 0, "user", None), *[(2, 0, "user", "x")] * 3]
+    b = [*both, (1, 0, "user", ""), (2, 5, "user", "x"), (2, 6, "user", "x"), (3, None, "assistant", "r")]
     frame = lambda rows: spark.createDataFrame(rows, "pair_id long, turn long, role string, text string")
     assert sorted((tuple(r) for r in chat.preference(frame(a), frame(b)).collect()), key=str) == brute(a, b)
 

@@ -21,7 +21,9 @@ def roots(edges):
 
 def test_components(spark, monkeypatch):
     r = random.Random(7)
-    graphs = [[], [(1, 2)], [(k, k + 1) for k in range(60)], [(500, k) for k in range(60)], [(r.randrange(300), r.randrange(300, 600)) for _ in range(200)], [(k, 900 - k % 3) for k in range(100)] + [(5, 1000), (1000, 1001)]]
+    graphs = [[], [(1, 2)], [(k, k + 1) for k in range(60)], [(500, k) for k in range(60)]]
+    graphs.append([(r.randrange(300), r.randrange(300, 600)) for _ in range(200)])
+    graphs.append([(k, 900 - k % 3) for k in range(100)] + [(5, 1000), (1000, 1001)])
     for hub in (common.HUB, 3):
         monkeypatch.setattr(common, "HUB", hub)
         for edges in graphs:

@@ -69,7 +69,8 @@ def test_operator(docs, rows, none):
         text, after = r["text"] or "", ordered[(k + 1) % len(ordered)]["text"] or ""
         edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
         own, other = f.fingerprint(text), f.fingerprint(edited)
-        want.append((r["doc_id"], len(text), hashlib.sha256(edited.encode()).hexdigest(), own, other, f.likeness(own, other), f.likeness(own, f.fingerprint(after))))
+        near = f.likeness(own, other), f.likeness(own, f.fingerprint(after))
+        want.append((r["doc_id"], len(text), hashlib.sha256(edited.encode()).hexdigest(), own, other, *near))
     assert out == sorted(want, key=str)
     assert f.with_next(none).count() == 0 and f.fingerprints(docs).count() == len(rows)
     assert [r.near_next for r in f.with_next(docs.filter("doc_id = 4")).collect()] == [1.0]

@@ -101,9 +101,11 @@ def encoded(planes, wide, high, shape=SHAPE, dht="one", restart=0, sof=0xC0):
     scan += flush()
     tables = [codes_body(k) for k in (0, 0x10, 1, 0x11)]
     made = {"one": [b"".join(tables)], "many": tables, "none": []}[dht]
-    parts = [media.segment(0xDB, b"\0" + b"\2" * 64 + b"\1" + b"\3" * 64), media.segment(sof, struct.pack(">BHHB", 8, high, wide, len(shape)) + b"".join(bytes([i, a << 4 | b, q]) for i, a, b, q in shape))]
+    header = struct.pack(">BHHB", 8, high, wide, len(shape)) + b"".join(bytes([i, a << 4 | b, q]) for i, a, b, q in shape)
+    parts = [media.segment(0xDB, b"\0" + b"\2" * 64 + b"\1" + b"\3" * 64), media.segment(sof, header)]
     parts += [media.segment(0xC4, b) for b in made] + ([media.segment(0xDD, struct.pack(">H", restart))] if restart else [])
-    return b"".join([b"\xff\xd8", *parts, media.segment(0xDA, bytes([len(shape), *[x for c, s in enumerate(shape) for x in (s[0], min(c, 1) * 0x11)], 0, 63, 0])), scan, b"\xff\xd9"])
+    chosen = [x for c, s in enumerate(shape) for x in (s[0], min(c, 1) * 0x11)]
+    return b"".join([b"\xff\xd8", *parts, media.segment(0xDA, bytes([len(shape), *chosen, 0, 63, 0])), scan, b"\xff\xd9"])
 
 
 def planes_of(r, wide, high, shape=SHAPE):
@@ -134,8 +136,13 @@ def avi(frames, how):
     """Files without an index, with idx1, and OpenDML ones whose later frames are in an AVIX list, with and without ix."""
     stream = struct.pack("<4s4s", b"vids", b"MJPG") + bytes(48)
     sound = media.chunk(b"LIST", b"strl" + media.chunk(b"strh", b"auds" + bytes(52)))
-    movi = [b"".join(media.chunk(b"00wb", b"sound") + media.chunk(b"01dc", f) for f in part) for part in ((frames[:5], frames[5:]) if "dml" in how else (frames, []))]
-    head = lambda indx: media.chunk(b"LIST", b"hdrl" + media.chunk(b"avih", struct.pack("<14I", 40_000, *[0] * 13)) + sound + media.chunk(b"LIST", b"strl" + media.chunk(b"strh", stream) + indx))
+    parts = (frames[:5], frames[5:]) if "dml" in how else (frames, [])
+    movi = [b"".join(media.chunk(b"00wb", b"sound") + media.chunk(b"01dc", f) for f in part) for part in parts]
+    avih = media.chunk(b"avih", struct.pack("<14I", 40_000, *[0] * 13))
+
+    def head(indx):
+        strl = media.chunk(b"LIST", b"strl" + media.chunk(b"strh", stream) + indx)
+        return media.chunk(b"LIST", b"hdrl" + avih + sound + strl)
 
     def file(indx, ix):
         out = b"AVI " + head(indx) + media.chunk(b"LIST", b"movi" + movi[0] + ix[0])
@@ -298,7 +305,8 @@ def test_query(spark, sf):
     for r in out:
         raw = texts[r.doc_id]
         padded = raw + bytes(-len(raw) % 64 if raw else 64)
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        want = (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == want
         if len(padded) < 40_000:
             file = slow_pack(padded)
             assert (r.media_bytes, r.media_sha256, r.feature) == (len(file), hashlib.sha256(file).hexdigest(), slow_feature(padded))

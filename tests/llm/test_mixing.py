@@ -44,7 +44,8 @@ def test_targets_and_copies(docs, rows):
 
 
 def test_taken_words_are_near(spark):
-    rows = spark.range(4000).selectExpr("id AS doc_id", "repeat('w ', cast(1 + id % 300 AS int)) AS text", "if(id % 3 = 0, 'hot', concat('s', id % 5)) AS source")
+    text, source = "repeat('w ', cast(1 + id % 300 AS int)) AS text", "if(id % 3 = 0, 'hot', concat('s', id % 5)) AS source"
+    rows = spark.range(4000).selectExpr("id AS doc_id", text, source)
     taken = mixing.mix(rows).selectExpr("source", "target", "copies * size AS taken").groupBy("source", "target").sum("taken").collect()
     assert len(taken) == 6 and all(abs(r[2] - r.target) <= 600 for r in taken)
 
@@ -66,7 +67,8 @@ def test_any_column_names_and_repeated_rows(spark):
     """Columns called like what the operator makes; 3000 rows that are equal in everything among others."""
     schema = "doc_id long, text string, source string, size_ int, rows_ int, id_ int, copies int, target int, a int, n int, take_ int, words_ int"
     rest = (1, 2, 3, 4, 5, 6, 7, 8, 9)
-    rows = [(7, "w w w", "hot", *rest)] * 3000 + [(k, "w " * (k % 9 + 1), f"s{k % 2}", *rest) for k in range(500)] + [(7, "w w w", "hot", *rest[:-1], 0), (None, None, None, *rest)]
+    rows = [(7, "w w w", "hot", *rest)] * 3000 + [(k, "w " * (k % 9 + 1), f"s{k % 2}", *rest) for k in range(500)]
+    rows += [(7, "w w w", "hot", *rest[:-1], 0), (None, None, None, *rest)]
     df = spark.createDataFrame(rows, schema).repartition(5)
     out = mixing.mixed(df)
     assert out.columns == df.columns
@@ -81,5 +83,6 @@ def test_any_column_names_and_repeated_rows(spark):
 def test_words_near_the_target_on_the_documents(spark):
     """The worst source of the next scale is off by less than its largest document."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    by = mixing.mix(docs).selectExpr("source", "target", "size", "copies * size AS taken").groupBy("source", "target").agg({"taken": "sum", "size": "max"}).collect()
+    taken = mixing.mix(docs).selectExpr("source", "target", "size", "copies * size AS taken")
+    by = taken.groupBy("source", "target").agg({"taken": "sum", "size": "max"}).collect()
     assert all(abs(r["sum(taken)"] - r.target) <= r["max(size)"] for r in by)

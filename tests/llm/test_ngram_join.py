@@ -85,7 +85,8 @@ def test_one_of_each_where_an_id_has_many_texts(spark):
     near = lambda w: " ".join([*w[:-1], "other"])
     x, y, z, lone = text(), text(), text(), " ".join(text())
     plain = " ".join
-    rows = [(7, plain(x)), (8, near(x)), (7, plain(y)), (3, near(y)), (7, lone), (7, lone), (5, plain(z)), (5, near(z)), (9, None), (9, ""), (None, plain(x)), (20, "b c"), (21, "b c")]
+    rows = [(7, plain(x)), (8, near(x)), (7, plain(y)), (3, near(y)), (7, lone), (7, lone), (5, plain(z)), (5, near(z))]
+    rows += [(9, None), (9, ""), (None, plain(x)), (20, "b c"), (21, "b c")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     classes = [{plain(x), near(x)}, {plain(y), near(y)}, {lone}, {plain(z), near(z)}]
     for how in ({}, {"block": 5000}):
@@ -129,7 +130,8 @@ def test_only_blocks_that_share_a_bucket_are_compared(spark):
 
 
 def test_one_of_each_with_any_column_names(spark):
-    df = spark.createDataFrame([(1, "a b c d e f", 1, 2, 3), (2, "a b c d e f", 4, 5, 6), (2, "a b c d e f", 4, 5, 6), (3, "x", 7, 8, 9), (3, "x", 7, 8, 9)], "doc_id long, text string, hash int, of_id int, go_ int")
+    rows = [(1, "a b c d e f", 1, 2, 3), (2, "a b c d e f", 4, 5, 6), (2, "a b c d e f", 4, 5, 6), (3, "x", 7, 8, 9), (3, "x", 7, 8, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, hash int, of_id int, go_ int")
     assert sorted(map(tuple, ngram_join.one_of_each(df).collect())) == [(1, "a b c d e f", 1, 2, 3), (3, "x", 7, 8, 9)]
 
 

@@ -20,11 +20,17 @@ def unigram(model):
             out, n = out + bytes([n & 127 | 128]), n >> 7
         return out + bytes([n])
 
+    def field(of, value):
+        if isinstance(value, int):
+            return number(of << 3) + number(value)
+        fixed = len(value) == 4 and of in (10, 11)
+        return number(of << 3 | (5 if fixed else 2)) + (b"" if fixed else number(len(value))) + value
+
     out = b""
     for of, value in pieces.fields(model):
         if of == 2:
             kept = ((a, x) for a, x in pieces.fields(value) if a != 3)
-            value = number(3 << 3) + number(1) + b"".join(number(a << 3) + number(x) if isinstance(x, int) else number(a << 3 | (5 if len(x) == 4 and a in (10, 11) else 2)) + (b"" if len(x) == 4 and a in (10, 11) else number(len(x))) + x for a, x in kept)
+            value = number(3 << 3) + number(1) + b"".join(field(a, x) for a, x in kept)
         out += number(of << 3 | 2) + number(len(value)) + value
     return out
 

@@ -79,7 +79,8 @@ def plainly(text, model):
             seen[t] = seen.get(t, 0) + 1
     n = max(1, len(words))
     often = max([words.count(w) for w in set(words)], default=0)
-    shape = [math.log(1 + n) / 4, sum(map(len, words)) / max(1, len(text)), sum("A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×" for c in text) / max(1, len(text)), len(set(words)) / n, sum(map(len, words)) / n / 10, often / n]
+    capitals, letters = sum("A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×" for c in text), sum(map(len, words))
+    shape = [math.log(1 + n) / 4, letters / max(1, len(text)), capitals / max(1, len(text)), len(set(words)) / n, letters / n / 10, often / n]
     out = []
     for w in model["weights"]:
         x = [*[math.log(1 + seen.get(t, 0)) for t in model["vocabulary"]], *shape, *out, 1.0]
@@ -167,8 +168,8 @@ def plain_row(text, vocabulary):
             counts[t] = counts.get(t, 0) + 1
     n = max(1, len(words))
     often = max((words.count(w) for w in set(words)), default=0)
-    capitals = sum("A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×" for c in text)
-    shape = [math.log(1 + n) / 4, sum(map(len, words)) / max(1, len(text)), capitals / max(1, len(text)), len(set(words)) / n, sum(map(len, words)) / n / 10, often / n]
+    capitals, letters = sum("A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×" for c in text), sum(map(len, words))
+    shape = [math.log(1 + n) / 4, letters / max(1, len(text)), capitals / max(1, len(text)), len(set(words)) / n, letters / n / 10, often / n]
     return [*[math.log(1 + counts.get(t, 0)) for t in vocabulary], *shape]
 
 
