@@ -244,7 +244,8 @@ def one_of_each(docs: DataFrame, words: int = WORDS, **how) -> DataFrame:
     may be called anything."""
     own = docs.columns
     of_id, of_hash, hash_ = unused(own, "of_id", "of_hash", "hash")
-    rows = linked(docs, words, **how).filter("doc_id IS NOT NULL AND node IS NOT NULL")
+    # Cut before they are grouped, so that Spark can split a node of many copies in the join that gave the rows their class.
+    rows = cut(linked(docs, words, **how).filter("doc_id IS NOT NULL AND node IS NOT NULL"))
     rows = cut(rows.groupBy("doc_id", "text_hash", "node", "class").agg(F.count(F.lit(1)).alias("n")))
     one = F.struct("doc_id", "node", "text_hash")
     least = rows.groupBy("class").agg(F.min(one).alias("least"), F.count(F.lit(1)).alias("texts"))
